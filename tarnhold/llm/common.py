@@ -47,7 +47,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """``df`` as a written table in the shared folder; removed when the JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarnhold/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

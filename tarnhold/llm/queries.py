@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, matroska, mixing, secrets
+from . import langid, matroska, minhash, mixing, quality, secrets
 from .common import table
 
 
@@ -14,11 +14,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.predict(docs, quality.train(docs, quality.trainable(table(spark, sf_dir, "labels"))))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(langid.trainable(docs)))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(table(spark, sf_dir, "documents"))
 
@@ -29,7 +38,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_line_quality": op2_line_quality,
     "op4_language_id": op4_language_id,
+    "op5_fingerprints": op5_fingerprints,
     "op6_media_columns": op6_media_columns,
     "op10_source_mixing": op10_source_mixing,
 }
