@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, matroska, minhash, mixing, quality, secrets
+from . import langid, matroska, minhash, mixing, neardup, quality, secrets
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs, quality.train(docs, quality.trainable(table(spark, sf_dir, "labels"))))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.digest(table(spark, sf_dir, "documents"), width=2)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(langid.trainable(docs)))
@@ -39,6 +43,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_line_quality": op2_line_quality,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_language_id": op4_language_id,
     "op5_fingerprints": op5_fingerprints,
     "op6_media_columns": op6_media_columns,
