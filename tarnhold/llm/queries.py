@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, matroska, minhash, mixing, neardup, quality, secrets
+from . import langid, matroska, minhash, mixing, neardup, packing, quality, secrets
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_fingerprints": op5_fingerprints,
     "op6_media_columns": op6_media_columns,
+    "op9_packed_tokens": op9_packed_tokens,
     "op10_source_mixing": op10_source_mixing,
 }
 
