@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, matroska, minhash, mixing, neardup, packing, quality, secrets
+from . import langid, matroska, minhash, mixing, neardup, packing, pieces, quality, secrets, toolcalls
 from .common import table
 
 
@@ -36,6 +36,14 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.conversation_links(table(spark, sf_dir, "conversations"))
+
+
+def op8_piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op9_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_fingerprints": op5_fingerprints,
     "op6_media_columns": op6_media_columns,
+    "op7_tool_calls": op7_tool_calls,
+    "op8_piece_segmentation": op8_piece_segmentation,
     "op9_packed_tokens": op9_packed_tokens,
     "op10_source_mixing": op10_source_mixing,
 }
