@@ -13,11 +13,12 @@ pair of similarity 0.8 a chance of about 3e-6 to share no band.
    (node, hub).  The collision-corrected estimate over the registers drops hopeless ones; the rest
    are verified on the full sets: 100 * intersection >= 80 * union.
 3. Connected components of the links (alternating large and small stars).
-4. A bucket whose nodes are now in one component is done.  In any other, nodes of different
-   components were not compared yet: its nodes are dealt into blocks of ``BLOCK`` nodes, ordered by
-   component, and pairs of blocks (never of nodes) are dealt out; each task compares registers of
-   two blocks and gives the pairs across components that pass the estimate, which are verified
-   in turn.  A group of near copies is one component after step 3, so it costs no more.
+4. A bucket whose nodes (without its hub, which was compared with all) are in one component is done.
+   In any other, nodes of different components were not compared yet: they are dealt into blocks of
+   about ``BLOCK`` nodes and ``WEIGHT`` shingles, and pairs of blocks (never of nodes) are dealt out.
+   A task compares the registers of two blocks and gives the nodes with a promising partner in
+   another component; a second task verifies those on full sets, by one product of membership
+   matrices, and gives a link for each two components it finds linked.
 
 Nodes, candidates and links are written to the shared folder, so a lost executor costs tasks, not
 the query.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import by_chunk, materialize, text_of
 from .shingles import mixed, shingle_set
 
-BUCKETS, BANDS, ROWS, MANTISSA, BLOCK = 256, 42, 6, 10, 512
+BUCKETS, BANDS, ROWS, MANTISSA, BLOCK, WEIGHT = 256, 42, 6, 10, 1024, 1_000_000
 PERCENT = 80
 #: Standard errors under the threshold at which an estimate is hopeless.
 SLACK = 6.0
@@ -145,17 +146,21 @@ def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return by_chunk(both.select("a", "b", "n_a", "n_b", "r_a", "r_b"), run, "a bigint, b bigint", "r_a")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """The pairs whose full sets are similar: sets are made again from the texts of the nodes in question."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "set"), "node")
+def _sets(asked: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node, shingles of the nodes in ``asked``, made again from their texts."""
+    asked = asked.select("node").distinct().join(nodes.select("node", "set"), "node")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_of().alias("text")).join(asked, "node")
 
     def run(piece: pa.RecordBatch) -> dict:
         out = [(i, s.astype("<u8").tobytes()) for i, t, h in zip(*[piece.column(k).to_pylist() for k in range(3)]) if set_hash(s := shingle_set(t, width)) == h]
         return {"node": [i for i, _ in out], "shingles": [s for _, s in out]}
 
-    sets = by_chunk(texts.select("node", "text", "set"), run, "node bigint, shingles binary").dropDuplicates(["node"])
-    sets = materialize(sets)
+    return by_chunk(texts.select("node", "text", "set"), run, "node bigint, shingles binary").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """The pairs whose full sets are similar."""
+    sets = materialize(_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, nodes, width))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b")
 
     def check(piece: pa.RecordBatch) -> dict:
@@ -197,42 +202,87 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def _across(members: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidates between different components of a bucket, blocks against blocks.
+def _promising_in(t: pa.Table) -> pa.Table:
+    """The rows of a task with a partner across sides and components whose estimate is not hopeless."""
+    side, part, n = (t.column(c).to_numpy() for c in ("side", "component", "n_shingles"))
+    regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else np.arange(len(side))
+    keep = np.zeros(len(side), bool)
+    for i in np.flatnonzero(side == 0):
+        js = right[part[right] != part[i]]
+        if len(js):
+            js = js[~hopeless(regs[i], regs[js], np.full(len(js), n[i]), n[js])]
+            keep[js] = True
+            keep[i] |= len(js) > 0
+    return t.select(["task", "side", "node", "component"]).filter(pa.array(keep))
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted distinct arrays, by products of membership matrices."""
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in [*a, *b]])
+    values, index, times = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(values), -1)
+    place[shared] = np.arange(len(shared))
+    place = place[index]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, len(shared), columns):
+        i, j = np.searchsorted(place, [low, low + columns])
+        m = np.zeros((len(a) + len(b), columns), np.float32)
+        m[owner[i:j], place[i:j] - low] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
 
-    ``members`` has node and key of buckets with two nodes or more, ``parts`` node and component.
+
+def _linked_in(t: pa.Table) -> pa.Table:
+    """One verified link for each two components that a task's sets link."""
+    side, node, part = (t.column(c).to_numpy() for c in ("side", "node", "component"))
+    sets = [np.frombuffer(x, "<u8") for x in t.column("shingles").to_pylist()]
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    a, b = [], []
+    if len(left) and len(right):
+        common = common_counts([sets[i] for i in left], [sets[j] for j in right])
+        n = np.array([len(x) for x in sets], np.float32)
+        x, y = np.nonzero((100 * common >= PERCENT * (n[left][:, None] + n[right][None, :] - common)) & (part[left][:, None] != part[right][None, :]))
+        x, y = left[x], right[y]
+        if len(x):
+            pairs = np.column_stack([np.minimum(part[x], part[y]), np.maximum(part[x], part[y])])
+            _, first = np.unique(pairs, axis=0, return_index=True)
+            a, b = np.maximum(node[x], node[y])[first], np.minimum(node[x], node[y])[first]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _across(members: DataFrame, parts: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """Links between different components of a bucket, blocks against blocks.
+
+    ``members`` has node and key of buckets, without their hubs; ``parts`` node and component.
     """
-    labelled = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    rows = labelled.join(open_.select("key", "n"), "key")
-    # nodes of a component share blocks; a component that needs more blocks spreads by the node's hash
-    own = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("own"))
+    sized = nodes.select("node", "n_shingles")
+    labelled = members.join(sized, "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    n, weight = F.count(F.lit(1)), F.sum("n_shingles")
+    open_ = labelled.groupBy("key").agg(F.greatest(n / BLOCK, weight / WEIGHT).alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    rows = labelled.join(open_.select("key", "blocks"), "key")
+    own = rows.groupBy("key", "component").agg(F.greatest(n / BLOCK, weight / WEIGHT).alias("own"))
     rows = rows.join(own, ["key", "component"])
-    spread = F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK))
-    # small components share blocks of a hash of the component; a large one has blocks of its own
-    rows = rows.withColumn("block", F.when(F.col("own") > BLOCK // 2, F.concat_ws(":", F.col("component").cast("string"), spread.cast("string"))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("n") * 2 / BLOCK)).cast("string")))
+    # a large component has blocks of its own, by the node's hash; small ones share blocks, by the component's
+    spread = F.pmod(F.xxhash64("node"), F.ceil(F.col("own")))
+    alone = F.concat_ws(":", F.col("component").cast("string"), spread.cast("string"))
+    shared = F.pmod(F.xxhash64("component"), F.ceil(F.col("blocks"))).cast("string")
+    rows = materialize(rows.select("key", "node", "component", F.when((F.col("own") > 0.5) & (F.col("blocks") > 1), alone).otherwise(shared).alias("block")))
     blocks = rows.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     x, y = blocks.toDF("key", "x", "low_x", "high_x"), blocks.toDF("key", "y", "low_y", "high_y")
     tasks = x.join(y, "key").where("x <= y AND NOT (low_x = high_x AND low_y = high_y AND low_x = low_y)").select("key", "x", "y")
     tasks = tasks.withColumn("task", F.xxhash64("key", "x", "y"))
     sides = tasks.select("key", F.col("x").alias("block"), "task", F.lit(0).alias("side")).union(tasks.where("x <> y").select("key", F.col("y"), "task", F.lit(1)))
-    dealt = rows.select("key", "block", "node", "component").join(sides, ["key", "block"]).select("task", "side", "node", "component")
+    dealt = rows.join(sides, ["key", "block"]).select("task", "side", "node", "component")
     dealt = dealt.join(nodes.select("node", "n_shingles", "regs"), "node")
-
-    def run(t: pa.Table) -> pa.Table:
-        side, node, part, n = (t.column(c).to_numpy() for c in ("side", "node", "component", "n_shingles"))
-        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else np.arange(len(node))
-        a, b = [], []
-        for i in np.flatnonzero(side == 0):
-            js = right[(part[right] != part[i]) & ((side[right] == 1) | (node[right] > node[i]))]
-            if len(js):
-                js = js[~hopeless(regs[i], regs[js], np.full(len(js), n[i]), n[js])]
-            a += [max(node[i], node[j]) for j in js]
-            b += [min(node[i], node[j]) for j in js]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return dealt.groupBy("task").applyInArrow(run, "a bigint, b bigint").distinct()
+    schema = "task bigint, side int, node bigint, component bigint"
+    left = materialize(dealt.groupBy("task").applyInArrow(_promising_in, schema))
+    sets = _sets(left, docs, nodes, width)
+    return left.join(sets, "node").groupBy("task").applyInArrow(_linked_in, "a bigint, b bigint").distinct()
 
 
 def link(docs: DataFrame, width: int = 5, bands: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
@@ -254,9 +304,9 @@ def link(docs: DataFrame, width: int = 5, bands: Callable[[np.ndarray], np.ndarr
     pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = materialize(_verified(materialize(_promising(pairs, nodes)), docs, nodes, width))
     parts = components(links)
-    rest = materialize(_across(members.select("node", "key"), parts, nodes))
+    rest = materialize(_across(members.where("node <> hub").select("node", "key"), parts, docs, nodes, width))
     if not rest.isEmpty():
-        parts = components(links.union(_verified(rest, docs, nodes, width)))
+        parts = components(links.union(rest))
     named = classes.join(parts, "node", "left").select(F.col("set").alias("c_set"), F.coalesce("component", "node").alias("component"))
     out = signed.join(named, F.col("set") == F.col("c_set"), "left")
     return out.select("doc_id", "n_shingles", "set", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
