@@ -32,13 +32,18 @@ from .common import WORD, materialize
 SEED, BLOCK, COPIES, DOCS_PER_SHARD = 42, 8, 3, 1024
 
 
+def _size() -> Column:
+    return F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def _place(name: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(name).cast("string"), F.lit(""))))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and the seeded order of each row."""
-    return docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.col("source").alias("source"),
-        F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-    ).withColumn("place", F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    """doc_id, source, size and the seeded place of each row."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").alias("source"), _size().alias("size"))
+    return rows.withColumn("place", _place("doc_id"))
 
 
 def targets(sources: DataFrame, copies: int = COPIES) -> DataFrame:
@@ -77,16 +82,9 @@ def apportion(claims: DataFrame, group: list[str], key: list[Column], claim: str
     return c.groupBy(*keep, "__low").agg(F.sum("__won").alias("__more")).select(*keep, (F.col("__low") + F.col("__more")).alias(out))
 
 
-def mix(docs: DataFrame, block: int = BLOCK, copies: int = COPIES, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
-    """doc_id, size, source_size, target (its source's), taken (words, repeats counted)."""
-    return _mix(materialize(sizes(docs)), block, copies, docs_per_shard)
-
-
-def _mix(sized: DataFrame, block: int, copies: int, docs_per_shard: int) -> DataFrame:
-    shards = max(1, -(-sized.count() // docs_per_shard))
-    shard = F.expr(f"cast(conv(substr(place, 1, 12), 16, 10) AS bigint) % {shards}")
-    sized = sized.withColumn("shard", shard)
-    cells = sized.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
+def _cells(sized: DataFrame, shard: Column, block: int, copies: int) -> DataFrame:
+    """c_source, c_shard: sizes, target, whole passes, length and start of the run of blocks of each shard."""
+    cells = sized.withColumn("shard", shard).groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     sums = cells.groupBy("source").agg(F.sum("shard_size").alias("source_size"))
     blocks = F.floor(F.sum("source_size").over(Window.partitionBy()) / F.lit(block)).cast("bigint")
     quotas = apportion(targets(sums, copies).withColumn("blocks", blocks), [], [F.col("source").asc_nulls_last()], "target", "blocks", "seats")
@@ -95,19 +93,62 @@ def _mix(sized: DataFrame, block: int, copies: int, docs_per_shard: int) -> Data
     cells = apportion(cells, ["source"], [F.col("shard")], "shard_size", "seats", "quota")
     wanted = F.least(F.col("quota") * block, F.col("shard_size") * copies)
     seeded = F.pmod(F.xxhash64(F.lit(SEED), F.col("source"), F.col("shard")), F.ceil(F.col("shard_size") / F.lit(block)))
-    cells = cells.select(
-        F.col("source").alias("c_source"), F.col("shard").alias("c_shard"), "source_size", "target", "shard_size",
-        F.coalesce(F.floor(wanted / F.col("shard_size")), F.lit(0)).cast("bigint").alias("passes"),
-        F.coalesce(wanted % F.col("shard_size"), F.lit(0)).alias("run"),
-        F.coalesce(seeded * block, F.lit(0)).alias("first"),
+    return cells.select(
+        F.col("source").alias("c_source"), F.col("shard").alias("c_shard"), F.col("source_size").alias("c_source_size"), F.col("target").alias("c_target"), F.col("shard_size").alias("c_size"),
+        F.coalesce(F.floor(wanted / F.col("shard_size")), F.lit(0)).cast("bigint").alias("c_passes"),
+        F.coalesce(wanted % F.col("shard_size"), F.lit(0)).alias("c_run"),
+        F.coalesce(seeded * block, F.lit(0)).alias("c_first"),
     )
-    line = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = sized.withColumn("start", F.sum("size").over(line) - F.col("size"))
-    rows = rows.join(cells, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("shard") == F.col("c_shard")))
 
-    def overlap(a: Column) -> Column:
-        end = F.least(F.col("start") + F.col("size"), a + F.col("run"), F.col("shard_size"))
-        return F.greatest(F.lit(0), end - F.greatest(F.col("start"), a, F.lit(0)))
 
-    taken = F.col("passes") * F.col("size") + overlap(F.col("first")) + overlap(F.col("first") - F.col("shard_size"))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+def _placed(rows: DataFrame, cells: DataFrame, shard: Column, names: dict[str, str]) -> DataFrame:
+    """``rows`` with their shard's cell and ``c_parts``: from and to, in words of the row, of its two overlaps with the run."""
+    own, size = F.col(names["source"]), F.col(names["size"])
+    rows = rows.withColumn("c_own", shard)
+    line = Window.partitionBy(own, "c_own").orderBy(*[F.col(names[k]) for k in ("place", "doc_id", "size")]).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("c_start", F.sum(size).over(line) - size)
+    rows = rows.join(cells, own.eqNullSafe(F.col("c_source")) & (F.col("c_own") == F.col("c_shard")))
+
+    def part(first: Column) -> Column:
+        low = F.greatest(F.col("c_start"), first, F.lit(0))
+        high = F.least(F.col("c_start") + size, first + F.col("c_run"), F.col("c_size"))
+        return F.struct((low - F.col("c_start")).alias("low"), (F.greatest(low, high) - F.col("c_start")).alias("high"))
+
+    return rows.withColumn("c_parts", F.array(part(F.col("c_first")), part(F.col("c_first") - F.col("c_size"))))
+
+
+def _shard(place: str, n: int) -> Column:
+    return F.conv(F.substring(F.col(place), 1, 12), 16, 10).cast("bigint") % n
+
+
+def mix(docs: DataFrame, block: int = BLOCK, copies: int = COPIES, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
+    """doc_id, size, source_size, target (its source's), taken (words, repeats counted)."""
+    sized = materialize(sizes(docs))
+    shard = _shard("place", max(1, -(-sized.count() // docs_per_shard)))
+    rows = _placed(sized, _cells(sized, shard, block, copies), shard, {k: k for k in sized.columns})
+    parts = [F.col("c_parts")[i]["high"] - F.col("c_parts")[i]["low"] for i in (0, 1)]
+    taken = F.col("c_passes") * F.col("size") + parts[0] + parts[1]
+    return rows.select("doc_id", "size", F.col("c_source_size").alias("source_size"), F.col("c_target").alias("target"), taken.cast("bigint").alias("taken"))
+
+
+def mixed(docs: DataFrame, block: int = BLOCK, copies: int = COPIES, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each whole pass of a document and one for each part that
+    the run of blocks covers, with those words as its text (n_chars, if there, follows).  Texts are shuffled once."""
+    names = docs.columns
+    sized = materialize(sizes(docs))
+    shards = max(1, -(-sized.count() // docs_per_shard))
+    own = {k: f"__th_{k}" for k in ("doc_id", "source", "size", "place")}
+    rows = docs.withColumns({own["doc_id"]: F.col("doc_id").cast("bigint"), own["source"]: F.col("source"), own["size"]: _size()})
+    rows = rows.withColumn(own["place"], _place(own["doc_id"]))
+    rows = _placed(rows, _cells(sized, _shard("place", shards), block, copies), _shard(own["place"], shards), own)
+    size = F.col(own["size"])
+    whole = F.when(F.col("c_passes") > 0, F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("low"), size.alias("high")), F.col("c_passes").cast("int")))
+    parts = F.concat(F.coalesce(whole, F.array().cast("array<struct<low:bigint,high:bigint>>")), F.filter("c_parts", lambda x: x["high"] > x["low"]))
+    rows = rows.where(size > 0).withColumn("__th_part", F.explode(parts))
+    low, high = F.col("__th_part.low"), F.col("__th_part.high")
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    text = F.when((low == 0) & (high == size), F.col("text")).otherwise(F.array_join(F.slice(words, (low + 1).cast("int"), (high - low).cast("int")), ""))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in names:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*names)
