@@ -1,4 +1,280 @@
-"""All registered queries and their oracles."""
+"""All registered queries over derived entries, and their oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import modes, paths
+from ..functions.limits import DEFAULT_LIMITS, Limits
+from ..operators import audit, budgets, dedup, extraction, links, listing, validation
+from ..sources import detect
+from . import derived, oracles
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+TIGHT = Limits(max_files=oracles.TIGHT["files"], max_entry_size=oracles.TIGHT["entry"], max_total_size=oracles.TIGHT["total"], max_compression_ratio=oracles.TIGHT["ratio"])
+
+
+def query(final: str | None = None, relation: str = "doc_entries", extra: dict[str, str] | None = None, recursive: bool = False):
+    """Registers a query; ``final`` is the last SELECT of its oracle over the relations of ``oracles``."""
+
+    def put(fn: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[fn.__name__] = fn
+        if final:
+            text = oracles.relation(relation, extra) + final
+            ORACLES[fn.__name__] = text.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else text
+        return fn
+
+    return put
+
+
+def _docs(spark: SparkSession, sf_dir: str, name: str = "doc_entries") -> DataFrame:
+    return derived.entries(spark, sf_dir, name)
+
+
+def _landed(spark: SparkSession, sf_dir: str, name: str = "doc_entries") -> DataFrame:
+    return audit.normalized(_docs(spark, sf_dir, name))
+
+
+# --- sources and paths -------------------------------------------------------------------
+
+_PEEKS = ["504B0304", "504B0306", "504B0506", "504B0708", "504B0102", "1F8B0800", "425A6839", "28B52FFD", "00", "7F454C46"]
+
+
+@query()
+def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Magic bytes of given prefixes, of a TAR header, and of the first bytes of document texts."""
+    given = spark.createDataFrame([(p, 100) for p in _PEEKS] + [("00" * 257 + "7573746172", 1024), ("00" * 512, 1024), ("00" * 512, 1000)], "peek string, size bigint")
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.hex(F.encode(F.substring("text", 1, 8), "UTF-8")).alias("peek"), F.col("n_chars").alias("size"))
+    return given.union(texts).select("peek", "size", detect.detected(F.unhex("peek"), F.col("size")).alias("detected"))
+
+
+ORACLES["detect_format"] = (
+    "WITH p AS (SELECT unnest([" + ", ".join(f"'{p}'" for p in _PEEKS) + "]) AS peek, CAST(100 AS BIGINT) AS size UNION ALL SELECT concat(repeat('00', 257), '7573746172'), 1024 UNION ALL SELECT repeat('00', 512), 1024 UNION ALL SELECT repeat('00', 512), 1000"
+    " UNION ALL SELECT hex(encode(substring(text, 1, 8))), n_chars FROM documents)"
+    " SELECT peek, size, CASE WHEN length(peek) < 8 THEN NULL WHEN peek[1:4] = '504B' AND peek[5:6] IN ('03', '05', '07') AND peek[7:8] IN ('04', '06', '08') THEN 'zip' WHEN peek[1:4] = '1F8B' THEN 'tar.gz' WHEN peek[1:6] = '425A68' THEN 'tar.bz2'"
+    " WHEN peek[1:8] = '28B52FFD' THEN 'tar.zst' WHEN peek[515:524] = '7573746172' THEN 'tar' WHEN size >= 1024 AND size % 512 = 0 AND peek = repeat('00', 512) THEN 'tar' END AS detected FROM p"
+)
+
+
+@query(f"SELECT archive_id, entry_index, {oracles.STRUCTURE} AS reason FROM broken WHERE {oracles.STRUCTURE} IS NOT NULL", extra={"broken": "SELECT archive_id, entry_index, source_format, " + ", ".join(f"{v} AS {k}" for k, v in oracles.BROKEN.items()) + " FROM entries"})
+def structural_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir)
+    return validation.structural_violations(rows.selectExpr("archive_id", "entry_index", "source_format", *[f"{v} AS {k}" for k, v in oracles.BROKEN.items()]))
+
+
+@query(f"SELECT archive_id, entry_index, {oracles.stripped('path')} AS stripped FROM entries")
+def strip_dot_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("archive_id", "entry_index", paths.strip_dot_segments(F.col("path")).alias("stripped"))
+
+
+@query("SELECT archive_id, entry_index, normalized FROM norm")
+def normalize_path_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.normalized(_docs(spark, sf_dir), ascii_only=True).select("archive_id", "entry_index", "normalized")
+
+
+@query(f"SELECT doc_id, {oracles.normalized('p')} AS normalized FROM (SELECT doc_id, substring(replace(text, chr(10), '/'), 1, 60) AS p FROM documents)")
+def normalize_path_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text beyond ASCII as paths: those rows alone go through Arrow."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring(F.translate("text", "\n", "/"), 1, 60).alias("path"))
+    return audit.normalized(rows).select("doc_id", "normalized")
+
+
+@query("SELECT archive_id, entry_index, error_code FROM norm")
+def path_error_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("archive_id", "entry_index", paths.path_error_code(F.col("path")).alias("error_code"))
+
+
+@query("SELECT archive_id, entry_index, path, error_code FROM norm", "url_entries")
+def url_path_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir, "url_entries").select("archive_id", "entry_index", "path", paths.path_error_code(F.col("path")).alias("error_code"))
+
+
+@query(f"SELECT archive_id, entry_index, array_to_string({oracles.segments('path')}[2:], '/') AS stripped, len({oracles.segments('path')}) AS depth FROM entries")
+def strip_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    return _docs(spark, sf_dir).select("archive_id", "entry_index", paths.strip_segments(p, 1).alias("stripped"), paths.path_depth(p).cast("bigint").alias("depth"))
+
+
+@query("SELECT archive_id, entry_index, normalized IS NOT NULL AND (normalized = 'docs' OR starts_with(normalized, 'docs/')) AS inside FROM norm")
+def inside_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("archive_id", "entry_index", paths.is_inside(F.col("path"), F.lit("docs")).alias("inside"))
+
+
+# --- modes ---------------------------------------------------------------------------------
+
+
+@query(f"SELECT archive_id, entry_index, {oracles.sanitized('mode', 'type')} AS mode FROM entries")
+def sanitize_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("archive_id", "entry_index", modes.sanitize_mode(F.col("mode"), F.col("type")).alias("mode"))
+
+
+@query("SELECT archive_id, entry_index, '0o' || printf('%o', mode) AS octal FROM entries WHERE mode IS NOT NULL")
+def mode_octal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).where("mode IS NOT NULL").select("archive_id", "entry_index", modes.octal(F.col("mode")).alias("octal"))
+
+
+# --- budgets -------------------------------------------------------------------------------
+
+_BUDGET = oracles.LIMITED.format(**oracles.TIGHT)
+
+
+@query(f"SELECT archive_id, entry_index, CAST(running_size AS BIGINT) AS running_size, CASE WHEN archive_size > 0 THEN CAST(running_size AS DOUBLE) / archive_size ELSE 0.0 END AS ratio, {_BUDGET} AS error_code FROM running", "line_entries")
+def declared_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir, "line_entries")
+    return budgets.declared_budget(rows, derived.archives(rows), TIGHT).withColumn("running_size", F.col("running_size").cast("bigint"))
+
+
+@query(f"SELECT archive_id, min(entry_index) AS entry_index, arg_min(code, entry_index) AS error_code FROM (SELECT *, {_BUDGET} AS code FROM running) WHERE code IS NOT NULL GROUP BY archive_id", "line_entries")
+def first_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir, "line_entries")
+    plan = extraction.plan(rows, derived.archives(rows), extraction.Options(limits=TIGHT, duplicates="skip"))
+    return extraction.first_violation(plan.violations).select("archive_id", "entry_index", "error_code")
+
+
+# --- duplicates ----------------------------------------------------------------------------
+
+
+@query("SELECT archive_id, entry_index, normalized FROM marked WHERE duplicate", "part_entries")
+def duplicate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.duplicate_paths(_landed(spark, sf_dir, "part_entries"))
+
+
+@query("SELECT archive_id, entry_index, normalized FROM marked WHERE case_collision", "part_entries")
+def case_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.case_collisions(_landed(spark, sf_dir, "part_entries"))
+
+
+@query("SELECT archive_id, entry_index, normalized FROM marked WHERE NOT duplicate", "part_entries")
+def dup_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.keep_first(_landed(spark, sf_dir, "part_entries")).select("archive_id", "entry_index", "normalized")
+
+
+@query("SELECT archive_id, normalized, max(entry_index) AS entry_index, arg_max(body, entry_index) AS body FROM norm WHERE normalized IS NOT NULL GROUP BY archive_id, normalized", "event_entries")
+def dup_overwrite_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.keep_last(_landed(spark, sf_dir, "event_entries"), "body")
+
+
+# --- links ---------------------------------------------------------------------------------
+
+
+@query(f"SELECT archive_id, entry_index, type, {oracles.escapes('path', 'link_target', 'type')} AS escapes FROM entries WHERE type IN ('symlink', 'hardlink')")
+def link_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.escapes(_docs(spark, sf_dir))
+
+
+@query("SELECT archive_id, entry_index, target FROM hard h WHERE NOT EXISTS (SELECT 1 FROM norm n WHERE n.archive_id = h.archive_id AND n.normalized = h.target AND n.entry_index <> h.entry_index)", extra=oracles.LINKED, recursive=True)
+def hardlink_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.hardlink_missing(_landed(spark, sf_dir))
+
+
+@query("SELECT h.archive_id, h.entry_index, CAST(min(c.depth) AS INTEGER) AS depth FROM hard h LEFT JOIN chain c ON c.archive_id = h.archive_id AND c.entry_index = h.entry_index GROUP BY h.archive_id, h.entry_index", extra=oracles.LINKED, recursive=True)
+def hardlink_fixpoint_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.hardlink_order(_landed(spark, sf_dir))
+
+
+@query("SELECT * FROM (" + oracles._below("symlink") + ")", extra=oracles.LINKED, recursive=True)
+def write_through_symlink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.write_through_symlink(_landed(spark, sf_dir))
+
+
+@query("SELECT * FROM (" + oracles._below("file") + ")", extra=oracles.LINKED, recursive=True)
+def not_a_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.not_a_directory(_landed(spark, sf_dir))
+
+
+# --- audit ---------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM findings", extra=oracles.FINDINGS)
+def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.entry_findings(_landed(spark, sf_dir)).select("archive_id", "entry_index", "finding_index", "code", "severity", "path")
+
+
+@query("SELECT code, severity, count(*) AS n FROM findings GROUP BY code, severity", extra=oracles.FINDINGS)
+def audit_finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.entry_findings(_landed(spark, sf_dir)).groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _report(rows: DataFrame) -> DataFrame:
+    archives = derived.archives(rows)
+    sums = audit.totals(rows, archives)
+    found = audit.entry_findings(audit.normalized(rows)).select("archive_id", "severity")
+    return audit.report(sums, found.unionByName(audit.archive_findings(sums).select("archive_id", "severity")))
+
+
+@query(oracles.REPORT, extra=oracles.FINDINGS | oracles.SUMS)
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(_docs(spark, sf_dir))
+
+
+@query("SELECT archive_id, risk_level FROM (" + oracles.REPORT + ")", "event_entries", oracles.FINDINGS | oracles.SUMS)
+def event_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(_docs(spark, sf_dir, "event_entries")).select("archive_id", "risk_level")
+
+
+@query("SELECT archive_id, risk_level, entry_count, total_size, n_findings FROM (" + oracles.REPORT + ")", extra=oracles.FINDINGS | oracles.SUMS)
+def risk_by_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(_docs(spark, sf_dir)).select("archive_id", "risk_level", "entry_count", "total_size", "n_findings")
+
+
+@query("SELECT archive_id, code, severity FROM whole", "line_entries", oracles.sums(TIGHT.max_files, TIGHT.max_total_size, TIGHT.max_compression_ratio))
+def archive_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir, "line_entries")
+    return audit.archive_findings(audit.totals(rows, derived.archives(rows), TIGHT), TIGHT).select("archive_id", "code", "severity")
+
+
+# --- listing and extraction ----------------------------------------------------------------
+
+
+@query(f"SELECT archive_id, entry_index, path, type, {oracles.sanitized('mode', 'type')} AS mode, link_target, coalesce(size, 0) AS size, source_format, path AS raw_path, coalesce(mode, 0) AS raw_mode, 'extracted' AS disposition FROM entries")
+def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.list_entries(_docs(spark, sf_dir)).drop("mtime")
+
+
+@query("SELECT archive_id, entry_index, 'unsafe_path' AS code, path AS entry_path, error_code FROM norm WHERE error_code IS NOT NULL")
+def list_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.list_warnings(_docs(spark, sf_dir))
+
+
+def _plan(spark: SparkSession, sf_dir: str, **more) -> extraction.Plan:
+    rows = _docs(spark, sf_dir)
+    return extraction.plan(rows, derived.archives(rows), extraction.Options(duplicates="skip", limits=DEFAULT_LIMITS, **more))
+
+
+@query(f"SELECT archive_id, entry_index, landing AS path, type, CASE WHEN type IN ('symlink', 'hardlink') THEN 0 ELSE {oracles.sanitized('mode', 'type')} END AS mode, link_target, CASE WHEN type = 'file' THEN coalesce(size, 0) ELSE 0 END AS size, source_format, path AS raw_path, coalesce(mode, 0) AS raw_mode, 'extracted' AS disposition FROM written", extra=oracles.EXTRACT)
+def extract_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.reported(_plan(spark, sf_dir).entries).drop("mtime", "normalized")
+
+
+@query("SELECT archive_id, entry_index, 'duplicate_skipped' AS code, path AS entry_path FROM firsts WHERE rn > 1", extra=oracles.EXTRACT)
+def extract_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir).warnings
+
+
+_STRIP = {**oracles.EXTRACT, "cut": f"SELECT *, array_to_string({oracles.segments('landing')}[2:], '/') AS short FROM landed"}
+
+
+@query("SELECT archive_id, entry_index, 'path_strip_collapsed' AS code, path AS entry_path FROM cut WHERE short = ''", extra=_STRIP)
+def strip_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir, strip=1).warnings.where("code = 'path_strip_collapsed'")
+
+
+_MAP = {**oracles.EXTRACT, "mapped": "SELECT *, concat('out/', landing) AS moved FROM landed WHERE type = 'file' AND size > 1000", "kept": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY archive_id, normalized ORDER BY entry_index) AS r FROM mapped) WHERE r = 1"}
+
+
+@query("SELECT archive_id, entry_index, moved AS path, size, path AS raw_path, 'renamed' AS disposition FROM kept", extra=_MAP)
+def filter_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's filter and map as columns."""
+    plan = _plan(spark, sf_dir, filter=(F.col("type") == "file") & (F.col("size") > 1000), map={"path": F.concat(F.lit("out/"), F.col("path"))})
+    return plan.entries.select("archive_id", "entry_index", "path", "size", "raw_path", "disposition")
+
+
+@query(f"SELECT archive_id, entry_index, landing AS path, type, CASE WHEN type IN ('symlink', 'hardlink') THEN 0 ELSE {oracles.sanitized('mode', 'type')} END AS mode, CASE WHEN type = 'file' THEN coalesce(size, 0) ELSE 0 END AS size, link_target AS linkname FROM written", extra=oracles.EXTRACT)
+def compat_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .. import compat
+
+    return compat.legacy_rows(extraction.reported(_plan(spark, sf_dir).entries)).drop("mtime", "data")
