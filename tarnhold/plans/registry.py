@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import modes, paths
 from ..functions.limits import DEFAULT_LIMITS, Limits
 from ..operators import audit, budgets, dedup, extraction, links, listing, validation
-from ..sources import detect
+from ..sources import detect, plugins, readers, writers
 from . import derived, oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -278,3 +278,75 @@ def compat_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .. import compat
 
     return compat.legacy_rows(extraction.reported(_plan(spark, sf_dir).entries)).drop("mtime", "data")
+
+
+# --- readers: archives are packed from documents and read back ------------------------------
+
+_BUNDLE = "CAST(CAST(floor(doc_id / 50) AS BIGINT) AS VARCHAR(99))"
+
+
+def _packed(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return writers.pack_groups(docs.selectExpr(f"{_BUNDLE} AS archive_id", "doc_id % 50 AS entry_index", "concat(lang, '/', doc_id, '.txt') AS path", "text AS body"), fmt)
+
+
+def _read_back(fmt: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = readers.entries(readers.parse(_packed(spark, sf_dir, fmt), with_body=True))
+        return rows.select("archive_id", "entry_index", "path", "type", "size", "mode", "actual_bytes", "source_format", F.sha2("body", 256).alias("sha256"))
+
+    return run
+
+
+for _fmt in writers.FORMATS:
+    _name = f"parse_{_fmt.replace('.', '')}"
+    QUERIES[_name] = _read_back(_fmt)
+    ORACLES[_name] = f"SELECT {_BUNDLE} AS archive_id, row_number() OVER (PARTITION BY {_BUNDLE} ORDER BY doc_id) - 1 AS entry_index, concat(lang, '/', doc_id, '.txt') AS path, 'file' AS type, octet_length(encode(text)) AS size, 420 AS mode, octet_length(encode(text)) AS actual_bytes, '{_fmt}' AS source_format, sha256(text) AS sha256 FROM documents"
+
+
+def archive_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readers, audit and report over packed archives, whole."""
+    from .. import api
+
+    files = _packed(spark, sf_dir, "tar.gz")
+    return api.audit_relations(files, readers.parse(files), DEFAULT_LIMITS).report.select("archive_id", "risk_level", "total_size", "entry_count", "n_findings", "detected_format")
+
+
+QUERIES["archive_audit"] = archive_audit
+ORACLES["archive_audit"] = f"SELECT {_BUNDLE} AS archive_id, 'low' AS risk_level, CAST(sum(octet_length(encode(text))) AS BIGINT) AS total_size, count(*) AS entry_count, 0 AS n_findings, 'tar.gz' AS detected_format FROM documents GROUP BY 1"
+
+
+def plugin_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's source: documents as archives of their lines."""
+
+    def lines(data: bytes, warn) -> list[dict]:
+        return [{"path": f"line/{i}", "type": "file", "size": len(x), "mode": 0o644, "source_format": "lines", "body": x} for i, x in enumerate(data.split(b"\n"))]
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("archive_id"), F.octet_length("text").cast("bigint").alias("archive_size"), F.encode("text", "UTF-8").alias("content"))
+    rows = readers.entries(readers.parse(docs, plugins=[plugins.Plugin("lines", lines)]))
+    return rows.select("archive_id", "entry_index", "path", "size", "source_format")
+
+
+QUERIES["plugin_source"] = plugin_source
+ORACLES["plugin_source"] = "SELECT archive_id, k - 1 AS entry_index, concat('line/', k - 1) AS path, octet_length(encode(ls[k])) AS size, 'lines' AS source_format FROM (SELECT archive_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT CAST(doc_id AS VARCHAR) AS archive_id, string_split(text, chr(10)) AS ls FROM documents))"
+
+
+def drop_dir_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream over a folder of dropped archives, run until it has seen all that are there."""
+    import os
+    import tempfile
+
+    from ..streaming import dropdir
+
+    folder = tempfile.mkdtemp(prefix="tarnhold-drop-")
+    os.makedirs(f"{folder}/in")
+    for r in _packed(spark, sf_dir, "zip").toLocalIterator():
+        with open(f"{folder}/in/{r.archive_id}.zip", "wb") as f:
+            f.write(r.content)
+    dropdir.audit_to(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state").awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select(F.regexp_extract("archive_id", r"([0-9]+)\.zip$", 1).alias("archive_id"), "risk_level", "entry_count", "total_size", "detected_format")
+
+
+QUERIES["drop_dir_stream"] = drop_dir_stream
+ORACLES["drop_dir_stream"] = f"SELECT {_BUNDLE} AS archive_id, 'low' AS risk_level, count(*) AS entry_count, CAST(sum(octet_length(encode(text))) AS BIGINT) AS total_size, 'zip' AS detected_format FROM documents GROUP BY 1"
