@@ -75,6 +75,7 @@ def list_archive(spark: SparkSession, given, *, plugins: list[Plugin] | None = N
     if rest:
         raise E.InvalidInputError(f"unknown options: {sorted(rest)}")
     _, parsed = _parsed(spark, given, limits, False, plugins, legacy_plugins)
+    parsed = parsed.drop("body").persist()
     rows = readers.entries(parsed)
     over = rows.where(F.col("entry_index") >= limits.max_files).select("archive_id", "entry_index", F.lit(1).alias("stage"), F.lit("LIMIT_FILE_COUNT").alias("error_code"))
     _raise_first(readers.failures(parsed).unionByName(over))
@@ -118,6 +119,7 @@ def audit_archive(spark: SparkSession, given, *, allow_symlinks: bool = False, a
     if rest:
         raise E.InvalidInputError(f"unknown options: {sorted(rest)}")
     files, parsed = _parsed(spark, given, limits, False, plugins, legacy_plugins)
+    parsed = parsed.persist()
     _raise_first(readers.failures(parsed))
     return audit_relations(files, parsed, limits, allow_symlinks, allow_hardlinks)
 
@@ -138,9 +140,14 @@ def extract_rows(spark: SparkSession, given, *, with_body: bool = True, plugins:
     limits, rest = _split(options)
     opts = extraction.Options(limits=limits, filter=filter, map=map or {}, **rest)
     files, parsed = _parsed(spark, given, limits, with_body, plugins, legacy_plugins)
-    plan = extraction.plan(readers.entries(parsed), files.select("archive_id", "archive_size"), opts)
-    _raise_first(readers.failures(parsed).unionByName(plan.violations))
-    return plan.entries, plan
+    slim = parsed.drop("body").persist()
+    plan = extraction.plan(readers.entries(slim), files.select("archive_id", "archive_size"), opts)
+    _raise_first(readers.failures(slim).unionByName(plan.violations))
+    rows = plan.entries
+    if with_body:  # bodies are read again for the rows that stay, not kept for all
+        bodies = readers.entries(parsed).select(F.col("archive_id").alias("__id"), F.col("entry_index").alias("__at"), "body")
+        rows = rows.join(bodies, (F.col("archive_id") == F.col("__id")) & (F.col("entry_index") == F.col("__at")), "left").drop("__id", "__at")
+    return rows, plan
 
 
 def extract(spark: SparkSession, given, output: str | None = None, *, overwrite: bool = False, on_warning=None, on_entry=None, **options) -> ExtractResult:
@@ -149,7 +156,7 @@ def extract(spark: SparkSession, given, output: str | None = None, *, overwrite:
     if output is not None:
         sinks.check_output(output, overwrite)
     rows, plan = extract_rows(spark, given, **options)
-    shown = extraction.reported(rows)
+    shown = extraction.reported(plan.entries)
     if output is not None:
         if rows.select("archive_id").distinct().limit(2).count() > 1:
             raise E.InvalidInputError("a tree is written from one archive")

@@ -82,9 +82,10 @@ def _row_checks(entries: DataFrame, archives: DataFrame, o: Options) -> DataFram
 
 
 def plan(entries: DataFrame, archives: DataFrame, options: Options | None = None) -> Plan:
-    """The relations of an extraction of ``entries`` (``schema.CORE`` and whatever else, as bodies)."""
+    """The relations of an extraction of ``entries`` (``schema.CORE`` and whatever else; bodies are better joined to the result)."""
     o = options or Options()
-    checked = _row_checks(entries, archives, o)
+    # both relations are read by many branches below; as cached ones they are worked out once
+    checked = _row_checks(entries, archives, o).persist()
     good = checked.where("__first IS NULL").drop("__first")
     violations = checked.where("__first IS NOT NULL").select("archive_id", "entry_index", "__first.stage", F.col("__first.code").alias("error_code"))
 
@@ -105,7 +106,7 @@ def plan(entries: DataFrame, archives: DataFrame, options: Options | None = None
     late = F.when(F.col("__wrong").isNotNull(), said("mapped", "PLUGIN_INVALID_ENTRY")).when(code.isNotNull(), said("mapped_path", code)).when(F.col("normalized").isNull(), said("normalize", "PATH_TRAVERSAL"))
     rows = rows.withColumn("__late", late)
     violations = violations.unionByName(rows.where("__late IS NOT NULL").select("archive_id", "entry_index", "__late.stage", F.col("__late.code").alias("error_code")))
-    rows = dedup.mark(rows.where("__late IS NULL").drop("__late", "__wrong"))
+    rows = dedup.mark(rows.where("__late IS NULL").drop("__late", "__wrong")).persist()
     if not o.case_insensitive:
         rows = rows.withColumn("case_collision", F.lit(False))
     clash = F.when(F.col("duplicate"), said("duplicate", "DUPLICATE_PATH")).when(F.col("case_collision"), said("case", "CASE_COLLISION"))
@@ -118,11 +119,11 @@ def plan(entries: DataFrame, archives: DataFrame, options: Options | None = None
         rows = rows.where("NOT duplicate AND NOT case_collision")
     rows = rows.drop("duplicate", "case_collision").withColumn("disposition", F.when(F.col("path") == F.col("__stripped"), "extracted").otherwise("renamed")).drop("__stripped")
 
-    refused = F.when((F.col("type") == "symlink") & F.lit(not o.allow_symlinks), "LINK_SYMLINK_REFUSED").when((F.col("type") == "hardlink") & F.lit(not o.allow_hardlinks), "LINK_HARDLINK_REFUSED")
-    links_only = rows.where(F.col("type").isin("symlink", "hardlink"))
-    leaving = F.when(link_escapes(F.col("path"), F.col("link_target"), F.col("type")), "LINK_ESCAPE")
-    at = lambda df, stage, c: df.select("archive_id", "entry_index", F.lit(STAGES[stage]).alias("stage"), (F.lit(c) if isinstance(c, str) else c).alias("error_code")).where("error_code IS NOT NULL")
-    violations = violations.unionByName(at(links_only, "refused", refused)).unionByName(at(links_only, "escape", leaving))
+    refused = F.when((F.col("type") == "symlink") & F.lit(not o.allow_symlinks), said("refused", "LINK_SYMLINK_REFUSED")).when((F.col("type") == "hardlink") & F.lit(not o.allow_hardlinks), said("refused", "LINK_HARDLINK_REFUSED"))
+    leaving = F.when(link_escapes(F.col("path"), F.col("link_target"), F.col("type")), said("escape", "LINK_ESCAPE"))
+    broken = rows.where(F.col("type").isin("symlink", "hardlink")).select("archive_id", "entry_index", F.explode(F.array_compact(F.array(refused, leaving))).alias("v"))
+    violations = violations.unionByName(broken.select("archive_id", "entry_index", "v.stage", F.col("v.code").alias("error_code")))
+    at = lambda df, stage, c: df.select("archive_id", "entry_index", F.lit(STAGES[stage]).alias("stage"), F.lit(c).alias("error_code"))
     slim = rows.select("archive_id", "entry_index", "type", "normalized", "link_target")
     violations = violations.unionByName(at(links.write_through_symlink(slim), "through", "LINK_THROUGH_SYMLINK")).unionByName(at(links.not_a_directory(slim), "not_directory", "NOT_A_DIRECTORY"))
     if o.allow_hardlinks:
