@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import errors as E
 from . import sinks
+from .cuts import cut
 from .functions.limits import Limits, resolve_limits
 from .operators import audit, extraction, listing
 from .sources import readers
@@ -75,7 +76,7 @@ def list_archive(spark: SparkSession, given, *, plugins: list[Plugin] | None = N
     if rest:
         raise E.InvalidInputError(f"unknown options: {sorted(rest)}")
     _, parsed = _parsed(spark, given, limits, False, plugins, legacy_plugins)
-    parsed = parsed.drop("body").persist()
+    parsed = cut(parsed.drop("body"))
     rows = readers.entries(parsed)
     over = rows.where(F.col("entry_index") >= limits.max_files).select("archive_id", "entry_index", F.lit(1).alias("stage"), F.lit("LIMIT_FILE_COUNT").alias("error_code"))
     _raise_first(readers.failures(parsed).unionByName(over))
@@ -119,7 +120,7 @@ def audit_archive(spark: SparkSession, given, *, allow_symlinks: bool = False, a
     if rest:
         raise E.InvalidInputError(f"unknown options: {sorted(rest)}")
     files, parsed = _parsed(spark, given, limits, False, plugins, legacy_plugins)
-    parsed = parsed.persist()
+    parsed = cut(parsed)
     _raise_first(readers.failures(parsed))
     return audit_relations(files, parsed, limits, allow_symlinks, allow_hardlinks)
 
@@ -140,7 +141,7 @@ def extract_rows(spark: SparkSession, given, *, with_body: bool = True, plugins:
     limits, rest = _split(options)
     opts = extraction.Options(limits=limits, filter=filter, map=map or {}, **rest)
     files, parsed = _parsed(spark, given, limits, with_body, plugins, legacy_plugins)
-    slim = parsed.drop("body").persist()
+    slim = cut(parsed.drop("body"))
     plan = extraction.plan(readers.entries(slim), files.select("archive_id", "archive_size"), opts)
     _raise_first(readers.failures(slim).unionByName(plan.violations))
     rows = plan.entries

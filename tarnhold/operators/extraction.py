@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import errors as E
+from ..cuts import cut
 from ..functions.limits import DEFAULT_LIMITS, MAX_SAFE, Limits
 from ..functions.modes import sanitize_mode
 from ..functions.paths import link_escapes, normalize_path, path_error_code, strip_dot_segments, strip_segments, with_nfc
@@ -84,8 +85,8 @@ def _row_checks(entries: DataFrame, archives: DataFrame, o: Options) -> DataFram
 def plan(entries: DataFrame, archives: DataFrame, options: Options | None = None) -> Plan:
     """The relations of an extraction of ``entries`` (``schema.CORE`` and whatever else; bodies are better joined to the result)."""
     o = options or Options()
-    # both relations are read by many branches below; as cached ones they are worked out once
-    checked = _row_checks(entries, archives, o).persist()
+    # both relations are read by many branches below; as written ones they are worked out, and planned, once
+    checked = cut(_row_checks(entries, archives, o))
     good = checked.where("__first IS NULL").drop("__first")
     violations = checked.where("__first IS NOT NULL").select("archive_id", "entry_index", "__first.stage", F.col("__first.code").alias("error_code"))
 
@@ -105,8 +106,9 @@ def plan(entries: DataFrame, archives: DataFrame, options: Options | None = None
     said = lambda stage, c: F.struct(F.lit(STAGES[stage]).alias("stage"), (F.lit(c) if isinstance(c, str) else c).alias("code"))
     late = F.when(F.col("__wrong").isNotNull(), said("mapped", "PLUGIN_INVALID_ENTRY")).when(code.isNotNull(), said("mapped_path", code)).when(F.col("normalized").isNull(), said("normalize", "PATH_TRAVERSAL"))
     rows = rows.withColumn("__late", late)
+    rows = cut(rows)
     violations = violations.unionByName(rows.where("__late IS NOT NULL").select("archive_id", "entry_index", "__late.stage", F.col("__late.code").alias("error_code")))
-    rows = dedup.mark(rows.where("__late IS NULL").drop("__late", "__wrong")).persist()
+    rows = cut(dedup.mark(rows.where("__late IS NULL").drop("__late", "__wrong")))
     if not o.case_insensitive:
         rows = rows.withColumn("case_collision", F.lit(False))
     clash = F.when(F.col("duplicate"), said("duplicate", "DUPLICATE_PATH")).when(F.col("case_collision"), said("case", "CASE_COLLISION"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cuts import cut
 from ..functions.paths import link_escapes, normalize_path
 
 
@@ -35,21 +36,16 @@ def hardlink_order(entries: DataFrame) -> DataFrame:
     Links on a cycle or behind a missing target have no depth.  Each pass joins what is pending with what the last
     one resolved; passes are checkpointed, as many as the longest chain has links.
     """
-    spark = entries.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnhold-"))
-    links = _hardlinks(entries).checkpoint()
+    links = cut(_hardlinks(entries))
     solid = entries.where("type <> 'hardlink' AND normalized IS NOT NULL").select("archive_id", F.col("normalized").alias("target")).distinct()
     depth = 1
-    step = links.join(solid, ["archive_id", "target"], "left_semi").withColumn("depth", F.lit(1)).checkpoint()
-    done, pending = step, links.join(step, ["archive_id", "entry_index"], "left_anti").checkpoint()
+    step = cut(links.join(solid, ["archive_id", "target"], "left_semi").withColumn("depth", F.lit(1)))
+    done, pending = step, cut(links.join(step, ["archive_id", "entry_index"], "left_anti"))
     while not step.isEmpty() and not pending.isEmpty():
         depth += 1
         fresh = step.select("archive_id", F.col("normalized").alias("target"))
-        step = pending.join(fresh, ["archive_id", "target"], "left_semi").withColumn("depth", F.lit(depth)).checkpoint()
-        pending = pending.join(step, ["archive_id", "entry_index"], "left_anti").checkpoint()
+        step = cut(pending.join(fresh, ["archive_id", "target"], "left_semi").withColumn("depth", F.lit(depth)))
+        pending = cut(pending.join(step, ["archive_id", "entry_index"], "left_anti"))
         done = done.unionByName(step)
     return done.unionByName(pending.withColumn("depth", F.lit(None).cast("int"))).select("archive_id", "entry_index", "depth")
 
