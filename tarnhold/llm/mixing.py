@@ -92,12 +92,13 @@ def _cells(sized: DataFrame, shard: Column, block: int, copies: int) -> DataFram
     cells = cells.join(quotas, F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source")
     cells = apportion(cells, ["source"], [F.col("shard")], "shard_size", "seats", "quota")
     wanted = F.least(F.col("quota") * block, F.col("shard_size") * copies)
-    seeded = F.pmod(F.xxhash64(F.lit(SEED), F.col("source"), F.col("shard")), F.ceil(F.col("shard_size") / F.lit(block)))
+    held = F.greatest(F.col("shard_size"), F.lit(1))  # a shard without words gets nothing
+    seeded = F.pmod(F.xxhash64(F.lit(SEED), F.col("source"), F.col("shard")), F.ceil(held / F.lit(block)))
     return cells.select(
         F.col("source").alias("c_source"), F.col("shard").alias("c_shard"), F.col("source_size").alias("c_source_size"), F.col("target").alias("c_target"), F.col("shard_size").alias("c_size"),
-        F.coalesce(F.floor(wanted / F.col("shard_size")), F.lit(0)).cast("bigint").alias("c_passes"),
-        F.coalesce(wanted % F.col("shard_size"), F.lit(0)).alias("c_run"),
-        F.coalesce(seeded * block, F.lit(0)).alias("c_first"),
+        F.floor(wanted / held).cast("bigint").alias("c_passes"),
+        (wanted % held).alias("c_run"),
+        (seeded * block).alias("c_first"),
     )
 
 
