@@ -12,11 +12,14 @@ and a digit, outside base spans, that pass a battery of tests:
 * chi-squared uniformity of its characters, a runs test about the middle of the alphabet and the
   serial correlation of neighbours: the sum of the three squared deviates (chi-squared, 3 degrees)
   must not speak against a random run (below its 99.9 % point);
-* the same chi-squared value must speak against ordinary text, whose index of coincidence raises
-  it by a noncentrality that grows with the length.  Its p-value goes through Benjamini-Hochberg
-  control over all runs of the corpus, per encoding and power of two of the length.  P-values are
-  counted in classes of whole powers of two, so the procedure moves a table of bounded size
-  (encodings x lengths x 65 classes), never the runs.
+* the run must speak against ordinary text in its own encoding: words and numbers, whose characters
+  stay in a class (digits, upper case, lower case, marks) or change it at the rates ``CHANGES`` and whose
+  letters have the frequencies of English, evened out by ``EVEN``.  The likelihood of the run under that
+  model over the one under equal chances, 1 / k a character, is a p-value that is never too small
+  (Markov's inequality), whatever k is.  It goes through Benjamini-Hochberg control over all runs of the
+  corpus, per encoding and power of two of the length.  P-values are counted in classes of whole powers
+  of two, so the procedure moves a table of bounded size (encodings x lengths x 65 classes), never the
+  runs.
 
 Null and empty texts have no spans; repeated rows give repeated rows; an empty table gives an
 empty one.  A row is known by its id and the hash of its text, so rows that share an id do not mix.
@@ -24,6 +27,7 @@ empty one.  A row is known by its id and the hash of its text, so rows that shar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -48,7 +52,22 @@ ENCODINGS = {
     "base64": (r"\A[0-9A-Za-z+/]+\z", UPPER + LOWER + DIGITS + "+/"),
     "base64url": (r"\A[0-9A-Za-z_-]+\z", UPPER + LOWER + DIGITS + "-_"),
 }
-COINCIDENCE, RATE, RANDOM_LIMIT = 0.066, 0.01, 16.27
+RATE, RANDOM_LIMIT = 0.01, 16.27
+#: English letters by frequency, in percent.
+FREQUENCY = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (12.7, 9.06, 8.17, 7.51, 6.97, 6.75, 6.33, 6.09, 5.99, 4.25, 4.03, 2.78, 2.76, 2.41, 2.36, 2.23, 2.02, 1.97, 1.93, 1.49, 0.98, 0.77, 0.15, 0.15, 0.1, 0.07)))
+#: Share of the letters of ordinary runs that have equal chances: other languages and short forms.
+EVEN = 0.2
+#: Classes of characters (digit, upper, lower, mark) and the chances of the next one's class; an encoding without
+#: some class has the others in proportion.
+CHANGES = {
+    "d": {"d": 0.60, "u": 0.14, "l": 0.14, "o": 0.12},
+    "u": {"d": 0.11, "u": 0.45, "l": 0.35, "o": 0.09},
+    "l": {"d": 0.15, "u": 0.06, "l": 0.72, "o": 0.07},
+    "o": {"d": 0.22, "u": 0.18, "l": 0.50, "o": 0.10},
+}
+_MARKS = "+/-_"
+_CLASSES = "d" * len(DIGITS) + "u" * len(UPPER) + "l" * len(LOWER) + "o" * len(_MARKS)
+_CLASS_OF = dict(zip(DIGITS + UPPER + LOWER + _MARKS, _CLASSES))
 _BLOCK = 128
 SPAN = "struct<s:bigint,k:int,e:bigint>"
 
@@ -125,14 +144,34 @@ def runs(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key", "x.s", "x.e", body.alias("body"))
 
 
+def ordinary(alphabet: str) -> tuple[list[float], dict[str, float], float]:
+    """Ordinary text in an alphabet, as logarithms to base 2: of each character within its class, of each pair of classes, of the first class."""
+    classes = sorted({_CLASS_OF[x] for x in alphabet})
+    members = {c: [x for x in alphabet if _CLASS_OF[x] == c] for c in classes}
+    weight = {x: FREQUENCY.get(x.lower(), 1.0) for x in alphabet}
+    share = lambda x, m: (1 - EVEN) * weight[x] / sum(weight[y] for y in m) + EVEN / len(m)
+    pairs = {a + b: math.log2(CHANGES[a][b] / sum(CHANGES[a][c] for c in classes)) for a in classes for b in classes}
+    return [math.log2(share(x, members[_CLASS_OF[x]])) for x in alphabet], pairs, -math.log2(len(classes))
+
+
 def battery(candidates: DataFrame) -> DataFrame:
-    """The tests of each run: adds encoding, k, n, chi, z_chi, z_runs, z_serial and random (their sum's verdict)."""
+    """The tests of each run: adds encoding, k, n, chi, bits (against ordinary text), z_chi, z_runs, z_serial and random (the verdict of their sum)."""
     encoding = F.coalesce(*[F.when(F.col("body").rlike(p), F.lit(e)) for e, (p, _) in ENCODINGS.items()])
     alphabet = F.coalesce(*[F.when(F.col("encoding") == e, F.lit(a)) for e, (_, a) in ENCODINGS.items()])
     c = candidates.withColumn("encoding", encoding).where(F.col("encoding").isNotNull()).withColumn("alphabet", alphabet)
     letters = F.filter(F.split("alphabet", ""), lambda x: x != "")
     times = lambda x: (F.length("body") - F.length(F.replace(F.col("body"), x, F.lit("")))).cast("double")
-    squares = F.aggregate(letters, F.lit(0.0), lambda a, x: a + times(x) * times(x))
+    models = {e: ordinary(a) for e, (_, a) in ENCODINGS.items()}
+    chosen = lambda of: F.coalesce(*[F.when(F.col("encoding") == e, of(m)) for e, m in models.items()])
+    chances = chosen(lambda m: F.array(*[F.lit(x) for x in m[0]]))
+
+    def counted(counts: Column) -> Column:
+        squares = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x)
+        return F.struct(squares.alias("squares"), F.aggregate(F.zip_with(counts, chances, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x).alias("within"))
+
+    # a class holds a pair at each place where the next character's class follows
+    follows = lambda pair: F.regexp_count("classes", F.lit(f"{pair[0]}(?={pair[1]})"))
+    changes = chosen(lambda m: sum((follows(p) * F.lit(w) for p, w in m[1].items()), F.lit(m[2])))
     codes = F.transform(F.filter(F.split("body", ""), lambda x: x != ""), lambda x: F.position(x, F.col("alphabet")) - (F.length("alphabet") + 1) / 2.0)
 
     def tests(v: Column) -> Column:
@@ -142,21 +181,18 @@ def battery(candidates: DataFrame) -> DataFrame:
         own = F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x)
         return F.struct(turns.alias("turns"), (products / own).alias("serial"))
 
-    c = c.select("*", F.length("body").cast("double").alias("n"), F.length("alphabet").cast("double").alias("k"), squares.alias("squares"), let(codes, tests).alias("t"))
+    c = c.select("*", F.length("body").cast("double").alias("n"), F.length("alphabet").cast("double").alias("k"), F.translate("body", "".join(_CLASS_OF), _CLASSES).alias("classes"), let(F.transform(letters, times), counted).alias("c"), let(codes, tests).alias("t"))
     n, k = F.col("n"), F.col("k")
-    c = c.withColumn("chi", k / n * F.col("squares") - n)
+    c = c.withColumns({"chi": k / n * F.col("c.squares") - n, "bits": -(n * F.log2(k) + F.col("c.within") + changes)})
     c = c.withColumns({"z_chi": (F.col("chi") - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n), "z_runs": (F.col("t.turns") - (n - 1) / 2) / F.sqrt((n - 1) / 4), "z_serial": (F.coalesce(F.col("t.serial"), F.lit(1.0)) + 1 / n) * F.sqrt(n)})
     total = F.pow(F.greatest(F.col("z_chi"), F.lit(0.0)), F.lit(2.0)) + F.pow("z_runs", F.lit(2.0)) + F.pow("z_serial", F.lit(2.0))
-    return c.withColumn("random", total < RANDOM_LIMIT).drop("alphabet", "squares", "t")
+    return c.withColumn("random", total < RANDOM_LIMIT).drop("alphabet", "classes", "c", "t")
 
 
 def discoveries(tested: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of ``battery`` that are random and survive the false-discovery control."""
-    n, k = F.col("n"), F.col("k")
-    beyond = (n - 1) * F.greatest(k * COINCIDENCE - 1, F.lit(0.0))
-    z = (F.col("chi") - (k - 1) - beyond) / F.sqrt(2 * (k - 1) + 4 * beyond)
-    bits = F.when(z < 0, z * z / 2 / 0.6931471805599453 + 1).otherwise(F.lit(0.0))  # p <= exp(-z^2 / 2) / 2
-    t = tested.withColumns({"stratum": F.floor(F.log2(n)).cast("int"), "level": F.least(F.floor(bits), F.lit(64)).cast("int")})
+    level = F.floor(F.least(F.greatest(F.col("bits"), F.lit(0.0)), F.lit(64.0))).cast("int")  # p <= 2 ** -bits
+    t = tested.withColumns({"stratum": F.floor(F.log2("n")).cast("int"), "level": level})
     counts = t.groupBy("encoding", "stratum", "level").count()
     from pyspark.sql import Window
 

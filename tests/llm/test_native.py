@@ -57,6 +57,40 @@ def test_secrets_random_and_clean(spark):
     assert clean[1] == "look <secret> here" and clean[2] == "plain prose about nothing at all"
 
 
+def ordinary_runs(rng, count):
+    """Words and numbers as names are made of them, in one case, in camel case, and numbers with a few letters."""
+    words = "report value station under people number garden winter letter market signal amber".split()
+    number = lambda: str(rng.choice([rng.randint(1, 9), rng.randint(10, 99), rng.randint(1900, 2030), rng.randint(10**5, 10**8)]))
+    out = []
+    for i in range(count):
+        parts = [rng.choice(words) for _ in range(5)]
+        parts[rng.randint(1, 3)] = number()
+        coded = [rng.choice(["BAD", "FACE", "DEAD", "ADD", "FEED"]), number(), number(), "20240115", number()]
+        out.append(["".join(parts) + "words", "".join(parts).upper() + "WORDS", "".join(p.capitalize() for p in parts) + "Words", ("".join(coded) * 2)[:40]][i % 4])
+    return out
+
+
+def test_secrets_of_every_encoding(spark):
+    """Keys of usual lengths, one row in ten: most are found in every encoding, and no name is."""
+    rng, rows = random.Random(11), []
+    keys = {"hex": (32, 40, 64), "base32": (32, 40, 64), "base36": (25, 32, 40), "base36_upper": (25, 32, 40), "base62": (22, 32, 43), "base64": (24, 32, 43), "base64url": (24, 32, 43)}
+    for encoding, lengths in keys.items():
+        alphabet = secrets.ENCODINGS[encoding][1]
+        for n in lengths:
+            for _ in range(40):
+                rows.append((f"{encoding} {n}", "".join(rng.choice(alphabet) for _ in range(n))))
+    rows += [("name", x) for x in ordinary_runs(rng, 9 * len(rows))]
+    # lower-case hex of 16 or more is a base span already, and a run needs a letter and a digit
+    rows = [(i, kind, x) for i, (kind, x) in enumerate(rows) if re.search("[0-9]", x) and re.search("[A-Za-z]", x) and not base_spans(x)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, kind string, text string")
+    got = {r.doc_id: r.n_random for r in secrets.digest(docs).collect()}
+    share = lambda kind: (lambda found: sum(found) / len(found))([got[i] for i, k, _ in rows if k == kind])
+    assert share("name") == 0
+    for encoding, lengths in keys.items():
+        for n in lengths:
+            assert share(f"{encoding} {n}") >= 0.5, (encoding, n, share(f"{encoding} {n}"))
+
+
 def test_redaction_keeps_rows(edges):
     out = secrets.redacted(edges)
     assert out.columns == edges.columns and out.count() == edges.count()
