@@ -60,6 +60,21 @@ ORACLES["detect_format"] = (
 )
 
 
+@query()
+def detect_format_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document texts as archives: the bytes the operator looks at, and all bytes as the size."""
+    data = F.encode("text", "UTF-8")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring(data, 1, detect.PEEK).alias("peek"), F.octet_length(data).cast("bigint").alias("size"))
+    return rows.select("doc_id", F.hex("peek").alias("peek"), "size", detect.detected(F.col("peek"), F.col("size")).alias("detected"))
+
+
+ORACLES["detect_format_whole"] = (
+    f"WITH p AS (SELECT doc_id, hex(encode(text))[1:{2 * detect.PEEK}] AS peek, octet_length(encode(text)) AS size FROM documents)"
+    " SELECT doc_id, peek, size, CASE WHEN length(peek) < 8 THEN NULL WHEN peek[1:4] = '504B' AND peek[5:6] IN ('03', '05', '07') AND peek[7:8] IN ('04', '06', '08') THEN 'zip' WHEN peek[1:4] = '1F8B' THEN 'tar.gz' WHEN peek[1:6] = '425A68' THEN 'tar.bz2'"
+    f" WHEN peek[1:8] = '28B52FFD' THEN 'tar.zst' WHEN peek[515:524] = '7573746172' THEN 'tar' WHEN size >= 1024 AND size % 512 = 0 AND peek = repeat('00', {detect.PEEK}) THEN 'tar' END AS detected FROM p"
+)
+
+
 @query(f"SELECT archive_id, entry_index, {oracles.STRUCTURE} AS reason FROM broken WHERE {oracles.STRUCTURE} IS NOT NULL", extra={"broken": "SELECT archive_id, entry_index, source_format, " + ", ".join(f"{v} AS {k}" for k, v in oracles.BROKEN.items()) + " FROM entries"})
 def structural_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir)
@@ -83,6 +98,13 @@ def normalize_path_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.normalized(rows).select("doc_id", "normalized")
 
 
+@query(f"SELECT doc_id, {oracles.normalized('p')} AS normalized FROM (SELECT doc_id, replace(text, chr(10), '/') AS p FROM documents)")
+def normalize_path_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as paths, ASCII or not."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.translate("text", "\n", "/").alias("path"))
+    return audit.normalized(rows).select("doc_id", "normalized")
+
+
 @query("SELECT archive_id, entry_index, error_code FROM norm")
 def path_error_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("archive_id", "entry_index", paths.path_error_code(F.col("path")).alias("error_code"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from tarnhold import errors as E
 from tarnhold.functions import modes, paths, scalar
 from tarnhold.operators import audit
+from tarnhold.plans import registry
+from tarnhold.sources import detect
 
 CASES = [
     ("docs/readme.txt", None), ("./docs/./a.txt", None), (".", "PATH_POLICY_VIOLATION"), ("../evil.txt", "PATH_TRAVERSAL"), ("a/../b", "PATH_TRAVERSAL"), ("/etc/passwd", "PATH_ABSOLUTE"),
@@ -94,3 +96,30 @@ def test_public_helpers():
 def test_malformed_records(bad):
     with pytest.raises(E.PluginInvalidEntryError):
         scalar.validate_archive_entry(bad)
+
+
+def _documents(spark, folder, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_whole_texts_as_paths(spark, tmp_path):
+    """What stands far behind the 60th character counts: climbing out, letters to fold, long lists of segments."""
+    rng = random.Random(9)
+    far = "\n".join(["part"] * 30)
+    texts = [None, "", far + "\n.." * 29 + "\nx", far + "\n.." * 31 + "\nx", far + "\ncafe\u0301", "é/" + far + "\n./.\\e\u0301", "\n".join(["d"] * 3000) + "\n..\nz"]
+    texts += ["\n".join(rng.choice(["a", "bc", "..", ".", "", "e\u0301", "long" * 9]) for _ in range(rng.randint(1, 80))) for _ in range(200)]
+    got = {r.doc_id: r.normalized for r in registry.QUERIES["normalize_path_whole"](spark, _documents(spark, tmp_path, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [None if t is None else _normal(t.replace("\n", "/")) for t in texts]
+
+
+def test_whole_texts_as_archives(spark, tmp_path):
+    """Headers behind the 8th character, blocks of zeros, and sizes in bytes."""
+    header = "n" * 257 + "ustar" + "x" * 300
+    texts = [None, "", "PK\3", "PK\3\4", "PK\5\6" + "é" * 300, "BZh9", header, "n" * 256 + "ustar", "é" * 128 + "nustar\0", "é" * 257 + "ustar", "\0" * 1024, "\0" * 1023, "\0" * 512 + "é" * 256, "\0" * 511 + "a" * 513, "\0" * 512]
+    got = {r.doc_id: r for r in registry.QUERIES["detect_format_whole"](spark, _documents(spark, tmp_path, texts)).collect()}
+    for i, t in enumerate(texts):
+        data = None if t is None else t.encode()
+        assert got[i].detected == (None if data is None else detect.detect_bytes(data)), i
+        assert (got[i].size, got[i].peek) == (None if data is None else len(data), None if data is None else data[:512].hex().upper()), i
+    assert [got[i].detected for i in (6, 8, 10, 12)] == ["tar"] * 4
