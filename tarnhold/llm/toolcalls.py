@@ -79,16 +79,27 @@ def errors(arguments: Column, schema: dict) -> Column:
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
+def _calls_of() -> Column:
+    """The calls of an assistant's text, null where it has none that can be read."""
+    made = F.from_json("text", _CALL)["tool_calls"]
+    return F.when((F.col("role") == "assistant") & F.col("text").rlike(r'(?s)\A\s*\{.*"tool_calls"') & (F.size(made) > 0), made)
+
+
+def _result_of() -> Column:
+    """The result in a tool's text; without an id if it cannot be read."""
+    return F.when((F.col("role") == "tool") & F.col("text").rlike(r'(?s)\A\s*\{.*"tool_call_id"'), F.from_json("text", _RESULT))
+
+
 def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that messages (conv_id, turn, role, text) hold as JSON.
 
     An assistant's text ``{"tool_calls": [{"id", "name", "arguments", "after"}]}`` has calls, a tool's text
-    ``{"tool_call_id", "content"}`` a result.  Other texts have neither.
+    ``{"tool_call_id", "content"}`` a result.  Other texts have neither, nor has an assistant's whose JSON is broken.
     """
     m = messages.select("conv_id", "turn", "role", "text")
-    c = m.where((F.col("role") == "assistant") & F.col("text").rlike(r'\A\s*\{.*"tool_calls"')).select("conv_id", "turn", F.posexplode(F.from_json("text", _CALL)["tool_calls"]).alias("idx", "c"))
+    c = m.select("conv_id", "turn", F.posexplode(_calls_of()).alias("idx", "c"))
     calls = c.select("conv_id", "turn", F.col("idx").cast("bigint"), F.col("c.id").alias("call_id"), "c.name", "c.arguments", F.coalesce("c.after", F.array().cast("array<string>")).alias("after"))
-    r = m.where((F.col("role") == "tool") & F.col("text").rlike(r'\A\s*\{.*"tool_call_id"')).withColumn("r", F.from_json("text", _RESULT))
+    r = m.withColumn("r", _result_of()).where("r IS NOT NULL")
     return calls, r.select("conv_id", "turn", F.col("r.tool_call_id").alias("call_id"), "r.content")
 
 
@@ -192,5 +203,5 @@ DIALOGUE = {"reply": _ASK, "configure": {**_ASK, "properties": {**_ASK["properti
 def conversation_links(messages: DataFrame) -> DataFrame:
     """``LINKED`` of a table of conversations: calls and results in their texts, and their dialogue as calls."""
     calls, results = from_messages(messages)
-    more_calls, more_results = from_dialogue(messages.where(~F.coalesce(F.col("text").rlike(r'\A\s*\{.*"tool_call(s|_id)"'), F.lit(False))))
+    more_calls, more_results = from_dialogue(messages.where(_calls_of().isNull() & _result_of().isNull()))
     return link(calls.unionByName(more_calls), results.unionByName(more_results), DIALOGUE)

@@ -199,3 +199,20 @@ def test_conversations(spark):
     assert {(r.conv_id, r.turn) for r in got if r.status == "linked"} == asks & answers
     assert {(r.conv_id, int(r.call_id)) for r in got if r.status == "orphan_result"} == answers - asks
     assert len(got) == len(asks | answers)
+
+
+def test_json_that_holds_no_calls_stays_dialogue(spark):
+    calls = {"tool_calls": [{"id": "a", "name": "add", "arguments": "{}"}]}
+    rows = [
+        (1, 0, "user", json.dumps({"tool_call_id": "x"}) + " what is this?"), (1, 1, "assistant", "a result"),
+        (2, 0, "system", json.dumps(calls)), (2, 1, "user", json.dumps(calls) + " and this?"), (2, 2, "assistant", json.dumps(calls)[:-9]),
+        (3, 0, "user", "add"), (3, 1, "assistant", json.dumps(calls, indent=2)), (3, 2, "tool", json.dumps({"tool_call_id": "a", "content": "3"}, indent=2)),
+        (4, 0, "user", "anything?"), (4, 1, "assistant", '{"tool_calls": []}'),
+        (5, 0, "user", "and?"), (5, 1, "assistant", '{"tool_calls": "none"}'), (5, 2, "tool", '{"tool_call_id": null, "content": "lost"}'),
+    ]
+    m = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = sorted((r.conv_id, r.turn, r.call_id or "", r.status) for r in toolcalls.conversation_links(m).collect())
+    assert got == [
+        (1, 0, "0", "linked"), (2, 0, "0", "unanswered"), (2, 1, "1", "linked"),
+        (3, 0, "0", "unanswered"), (3, 1, "a", "linked"), (4, 0, "0", "linked"), (5, 0, "0", "linked"), (5, 2, "", "orphan_result"),
+    ]
