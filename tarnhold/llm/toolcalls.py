@@ -44,39 +44,73 @@ def _type_is(kind: Column, wanted: str) -> Column:
     return kind == _KIND[wanted]
 
 
-def errors(arguments: Column, schema: dict) -> Column:
-    """Array of what is wrong with a variant under a JSON schema (types, required, enum, bounds, lengths, pattern,
-    additionalProperties; one level of properties, and the type of items)."""
+#: Keywords of a schema that say something of a value, and those that say nothing.
+_KEYWORDS = {"type", "enum", "minimum", "maximum", "minLength", "maxLength", "pattern", "properties", "required", "additionalProperties", "items"}
+_NOTES = {"$schema", "$id", "$comment", "title", "description", "default", "examples"}
+_TYPES = {*_KIND, "number", "object", "array"}
+
+
+def _check_schema(schema: dict, at: str = "") -> None:
+    """Raises on what ``errors`` does not check."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at or 'schema'}: not an object")
+    if unknown := set(schema) - _KEYWORDS - _NOTES:
+        raise ValueError(f"{at or 'schema'}: keywords not supported: {sorted(unknown)}")
+    if "type" in schema and (not isinstance(schema["type"], str) or schema["type"] not in _TYPES):
+        raise ValueError(f"{at or 'schema'}: type not supported: {schema['type']}")
+    if not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError(f"{at or 'schema'}: additionalProperties must be true or false")
+    for name, rule in schema.get("properties", {}).items():
+        _check_schema(rule, f"{at}.{name}" if at else name)
+    if "items" in schema:
+        _check_schema(schema["items"], f"{at}[]")
+
+
+def _wrong(value: Column, schema: dict, at: str = "") -> Column:
+    """What is wrong with a variant (null: not there) under a schema; ``at`` is its name in messages."""
     found: list[Column] = []
-    say = lambda bad, what: found.append(F.when(F.coalesce(bad, F.lit(False)), F.lit(what)))
-    for name, rule in sorted(schema.get("properties", {}).items()):
-        path = f"$['{name}']"
-        part = F.try_variant_get(arguments, path, "variant")
-        kind = F.schema_of_variant(part)
-        if name in schema.get("required", []):
-            say(part.isNull(), f"{name}: missing")
-        if "type" in rule:
-            say(part.isNotNull() & ~_type_is(kind, rule["type"]), f"{name}: not {rule['type']}")
-        if "items" in rule and "type" in rule["items"]:
-            items = F.try_variant_get(arguments, path, "array<variant>")
-            say(F.exists(items, lambda x: ~_type_is(F.schema_of_variant(x), rule["items"]["type"])), f"{name}: items not {rule['items']['type']}")
-        text, number = F.try_variant_get(arguments, path, "string"), F.try_variant_get(arguments, path, "double")
+    none = F.array().cast("array<string>")
+    say = lambda bad, what: found.append(F.when(F.coalesce(bad, F.lit(False)), F.array(F.lit(what))).otherwise(none))
+    kind = F.schema_of_variant(value)
+    if at:
+        if "type" in schema:
+            say(value.isNotNull() & ~_type_is(kind, schema["type"]), f"{at}: not {schema['type']}")
+        text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
         isnumber = _type_is(kind, "number")
         for key, bad in (
-            ("enum", lambda v: part.isNotNull() & ~text.isin([str(x) for x in v])),
+            ("enum", lambda v: value.isNotNull() & ~text.isin([str(x) for x in v])),
             ("minimum", lambda v: isnumber & (number < v)),
             ("maximum", lambda v: isnumber & (number > v)),
             ("minLength", lambda v: (kind == "STRING") & (F.length(text) < v)),
             ("maxLength", lambda v: (kind == "STRING") & (F.length(text) > v)),
             ("pattern", lambda v: (kind == "STRING") & ~text.rlike(v)),
         ):
-            if key in rule:
-                say(bad(rule[key]), f"{name}: {key}")
+            if key in schema:
+                say(bad(schema[key]), f"{at}: {key}")
+    isobject = kind.startswith("OBJECT<")
+    properties = schema.get("properties", {})
+    for name in sorted({*properties, *schema.get("required", [])}):
+        path, part = f"{at}.{name}" if at else name, F.try_variant_get(value, f"$['{name}']", "variant")
+        if name in schema.get("required", []):
+            say(isobject & part.isNull(), f"{path}: missing")
+        if name in properties:
+            found.append(_wrong(part, properties[name], path))
+    if "items" in schema:
+        items = F.when(kind.startswith("ARRAY<"), F.try_variant_get(value, "$", "array<variant>"))
+        inner = F.flatten(F.transform(items, lambda x: _wrong(x, schema["items"], f"{at}[]")))
+        found.append(F.coalesce(F.array_distinct(inner), none))
     if schema.get("additionalProperties") is False:
-        keys = F.map_keys(F.try_variant_get(arguments, "$", "map<string,variant>"))
-        extra = F.array_except(keys, F.array(*[F.lit(n) for n in sorted(schema.get("properties", {}))]).cast("array<string>"))
-        say(F.size(extra) > 0, "unknown properties")
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+        keys = F.map_keys(F.when(isobject, F.try_variant_get(value, "$", "map<string,variant>")))
+        extra = F.array_except(keys, F.array(*[F.lit(n) for n in sorted(properties)]).cast("array<string>"))
+        say(F.size(extra) > 0, f"{at}: unknown properties" if at else "unknown properties")
+    return F.concat(*found) if found else none
+
+
+def errors(arguments: Column, schema: dict) -> Column:
+    """Array of what is wrong with a variant under a JSON schema, to the schema's depth (types, required, enum, bounds,
+    lengths, pattern, additionalProperties, items).  A keyword that is not checked raises ``ValueError``."""
+    _check_schema(schema)
+    return _wrong(arguments, schema)
 
 
 def _calls_of() -> Column:

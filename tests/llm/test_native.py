@@ -6,6 +6,7 @@ import json
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarnhold.llm import mixing, secrets, toolcalls
@@ -216,3 +217,21 @@ def test_json_that_holds_no_calls_stays_dialogue(spark):
         (1, 0, "0", "linked"), (2, 0, "0", "unanswered"), (2, 1, "1", "linked"),
         (3, 0, "0", "unanswered"), (3, 1, "a", "linked"), (4, 0, "0", "linked"), (5, 0, "0", "linked"), (5, 2, "", "orphan_result"),
     ]
+
+
+def test_schemas_to_their_depth(spark):
+    point = {"type": "object", "properties": {"x": {"type": "integer", "minimum": 0}}, "required": ["x"], "additionalProperties": False}
+    rule = {"type": "object", "properties": {"at": point, "way": {"type": "array", "items": point}}, "required": ["at", "name"]}
+    given = {
+        "a": ({"at": {"x": 1}, "name": "n", "way": [{"x": 0}, {"x": 5}]}, ""), "b": ({"at": {"x": 1}}, "name: missing"), "c": ({"at": {}, "name": 1}, "at.x: missing"),
+        "d": ({"at": {"x": -1, "y": 0}, "name": 1}, "at.x: minimum; at: unknown properties"), "e": ({"at": 3, "name": 1}, "at: not object"),
+        "f": ({"at": {"x": 1}, "name": 1, "way": [{"x": 0}, {"x": "s"}, {"x": "t"}, 4]}, "way[].x: not integer; way[]: not object"),
+        "g": ({"at": {"x": 1}, "name": 1, "way": []}, ""),
+    }
+    calls = spark.createDataFrame([(1, i, 0, k, "go", json.dumps(a), []) for i, (k, (a, _)) in enumerate(given.items())], "conv_id bigint, turn bigint, idx bigint, call_id string, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([], "conv_id bigint, turn bigint, call_id string, content string")
+    got = {r.call_id: (r.errors, r.valid) for r in toolcalls.link(calls, results, {"go": rule}).collect()}
+    assert got == {k: (e, e == "") for k, (_, e) in given.items()}
+    for bad in ({"properties": {"x": {"const": 1}}}, {"properties": {"x": {"items": {"exclusiveMinimum": 0}}}}, {"oneOf": []}, {"properties": {"x": {"type": ["string", "null"]}}}):
+        with pytest.raises(ValueError):
+            toolcalls.errors(F.lit(None), bad)
