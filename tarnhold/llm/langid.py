@@ -12,8 +12,6 @@ nearly all of that part passes, if it has no letter, or if it is null.
 
 from __future__ import annotations
 
-import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +22,6 @@ from pyspark.sql import functions as F
 from .common import by_chunk, remainder
 
 BINS, DIM = 4096, 16
-_LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(32 if i < 128 and not chr(i).isalpha() else i for i in range(256))
 _PIECE = 1 << 20
 
@@ -44,6 +41,11 @@ def histogram(text: str) -> np.ndarray:
     return out
 
 
+def has_letter(text: str) -> bool:
+    """True if a character is of a Unicode letter category (digits, also raised ones, and marks are not)."""
+    return any(map(str.isalpha, text))
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -57,7 +59,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated probability, rejected."""
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return "und", 0.0, True
         p = softmax(self.logits(histogram(text)) / self.temperature)
         k = int(np.argmax(p))
@@ -106,25 +108,29 @@ def fit(hists: np.ndarray, langs: list[str], epochs: int = 25, rate: float = 4.0
 
 
 def train(labelled: DataFrame, sample: int = 3000, seed: int = 7) -> Model:
-    """Fit on a bounded sample: the ``sample`` rows of ``labelled`` with the smallest seeded hash of their id.
+    """Fit on a bounded sample: the ``sample`` rows of ``labelled`` with the smallest seeded hash of their id
+    (rows that share an id: by the hash of their text, then by language).
 
     ``labelled`` has doc_id, text and a non-null lang.  The texts become histograms on the
-    executors, so the driver gets ``sample`` rows of bounded size, however long the texts are.
+    executors, and the driver gets their bins that are not empty: ``sample`` rows of at most ``BINS``
+    entries, however long the texts are.
     """
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    last = labelled.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    order = [F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h"), F.xxhash64("text").alias("t"), F.col("lang")]
+    last = labelled.select(*order).orderBy("h", "t", "lang").limit(sample).agg(F.max(F.struct("h", "t", "lang"))).first()[0]
     if last is None:
         return fit(np.zeros((0, BINS)), [])
 
     def run(piece: pa.RecordBatch) -> dict:
-        hists = [zlib.compress(histogram(t or "").astype(np.float32).tobytes(), 1) for t in piece.column(1).to_pylist()]
-        return {"h": piece.column(0), "lang": piece.column(2), "hist": hists}
+        hists = [histogram(t or "") for t in piece.column(3).to_pylist()]
+        bins = [np.flatnonzero(x) for x in hists]
+        return {"h": piece.column(0), "t": piece.column(1), "lang": piece.column(2), "bins": [b.astype(np.int16) for b in bins], "counts": [x[b].astype(np.float32) for x, b in zip(hists, bins)]}
 
-    rows = by_chunk(labelled.where(order <= last).select(order.alias("h"), "text", "lang"), run, "h bigint, lang string, hist binary").limit(sample).collect()
-    rows.sort(key=lambda r: (r.h, r.lang, bytes(r.hist)))
+    upto = F.struct(*order) <= F.struct(F.lit(last.h).alias("h"), F.lit(last.t).cast("bigint").alias("t"), F.lit(last.lang).alias("lang"))
+    made = by_chunk(labelled.where(upto).select(*order, "text"), run, "h bigint, t bigint, lang string, bins array<smallint>, counts array<float>")
+    rows = made.orderBy("h", "t", "lang").limit(sample).collect()  # rows beyond the bound are copies of the last one
     hists = np.zeros((len(rows), BINS), np.float32)
     for i, r in enumerate(rows):
-        hists[i] = np.frombuffer(zlib.decompress(r.hist), np.float32)
+        hists[i, r.bins] = r.counts
     return fit(hists, [r.lang for r in rows])
 
 
