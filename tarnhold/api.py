@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import time
-from collections.abc import Callable, Iterable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +41,7 @@ def _spooled(stream: Iterable[bytes], limits: Limits) -> bytes:
 
 
 def load(spark: SparkSession, given, limits: Limits) -> DataFrame:
-    """Archives of a path or pattern, of bytes, or of a stream of bytes."""
+    """Archives of a path or pattern (a folder is neither), of bytes, or of a stream of bytes."""
     if isinstance(given, (bytes, bytearray, memoryview)):
         return readers.of_bytes(spark, [("bytes", bytes(given))])
     if isinstance(given, (str, os.PathLike)):
@@ -46,7 +49,7 @@ def load(spark: SparkSession, given, limits: Limits) -> DataFrame:
         if "://" not in path and not any(c in path for c in "*?[{"):
             if not os.path.exists(path):
                 raise E.ArchiveNotFoundError(f"no such archive: {path}")
-            if not (os.path.isfile(path) or os.path.isdir(path)):
+            if not os.path.isfile(path):
                 raise E.InvalidInputError(f"not a file: {path}")
         return readers.archives(spark, path if "://" in path else os.path.abspath(path))
     if hasattr(given, "read") or hasattr(given, "__iter__") and not isinstance(given, (dict, set)):
@@ -70,11 +73,48 @@ def _raise_first(violations: DataFrame) -> None:
         raise E.from_code(r.error_code, f"{r.archive_id}: entry {r.entry_index}: {r.error_code}", entry_index=r.entry_index)
 
 
-def list_archive(spark: SparkSession, given, *, plugins: list[Plugin] | None = None, legacy_plugins: bool = False, on_warning: Callable[[dict], None] | None = None, **options) -> DataFrame:
+@contextlib.contextmanager
+def abortable(spark: SparkSession, signal: threading.Event | None) -> Iterator[Callable[[], None]]:
+    """Ends the Spark jobs of this block when ``signal`` is set, and raises ``AbortError``; gives a check to call between jobs."""
+
+    def check() -> None:
+        if signal is not None and signal.is_set():
+            raise E.AbortError("aborted")
+
+    check()
+    if signal is None:
+        yield check
+        return
+    tag, over = f"tarnhold-{uuid.uuid4().hex}", threading.Event()
+
+    def watch() -> None:
+        while not over.is_set():
+            if signal.wait(0.1) and not over.wait(0.1):  # a job may start between the look and the call
+                spark.sparkContext.cancelJobsWithTag(tag)
+
+    spark.sparkContext.addJobTag(tag)
+    threading.Thread(target=watch, daemon=True).start()
+    try:
+        yield check
+    except Exception as e:
+        if signal.is_set() and not isinstance(e, E.AbortError):
+            raise E.AbortError("aborted") from e
+        raise
+    finally:
+        over.set()
+        spark.sparkContext.removeJobTag(tag)
+
+
+def list_archive(spark: SparkSession, given, *, plugins: list[Plugin] | None = None, legacy_plugins: bool = False, on_warning: Callable[[dict], None] | None = None, signal: threading.Event | None = None, **options) -> DataFrame:
     """The entries of an archive as they are; too many, or a broken archive, raise."""
     limits, rest = _split(options)
     if rest:
         raise E.InvalidInputError(f"unknown options: {sorted(rest)}")
+    with abortable(spark, signal):
+        return _listed(spark, given, limits, plugins, legacy_plugins, on_warning)
+
+
+def _listed(spark: SparkSession, given, limits: Limits, plugins, legacy_plugins: bool, on_warning) -> DataFrame:
     _, parsed = _parsed(spark, given, limits, False, plugins, legacy_plugins)
     parsed = cut(parsed.drop("body"))
     rows = readers.entries(parsed)
@@ -114,14 +154,15 @@ def audit_relations(files: DataFrame, parsed: DataFrame, limits: Limits, allow_s
     return AuditReport(audit.report(sums, found, sizes), found, rows.where(F.col("entry_index") < limits.max_files).select("archive_id", "entry_index", "path", "type", "size", "mode", "link_target", "source_format"))
 
 
-def audit_archive(spark: SparkSession, given, *, allow_symlinks: bool = False, allow_hardlinks: bool = False, plugins: list[Plugin] | None = None, legacy_plugins: bool = False, **options) -> AuditReport:
+def audit_archive(spark: SparkSession, given, *, allow_symlinks: bool = False, allow_hardlinks: bool = False, plugins: list[Plugin] | None = None, legacy_plugins: bool = False, signal: threading.Event | None = None, **options) -> AuditReport:
     """Findings and risk; unsafe entries are findings, an unreadable archive raises."""
     limits, rest = _split(options)
     if rest:
         raise E.InvalidInputError(f"unknown options: {sorted(rest)}")
-    files, parsed = _parsed(spark, given, limits, False, plugins, legacy_plugins)
-    parsed = cut(parsed)
-    _raise_first(readers.failures(parsed))
+    with abortable(spark, signal):
+        files, parsed = _parsed(spark, given, limits, False, plugins, legacy_plugins)
+        parsed = cut(parsed)
+        _raise_first(readers.failures(parsed))
     return audit_relations(files, parsed, limits, allow_symlinks, allow_hardlinks)
 
 
@@ -136,40 +177,50 @@ class ExtractResult:
     violations: list[dict] = field(default_factory=list)
 
 
-def extract_rows(spark: SparkSession, given, *, with_body: bool = True, plugins: list[Plugin] | None = None, legacy_plugins: bool = False, filter=None, map=None, **options) -> tuple[DataFrame, extraction.Plan]:
-    """The rows that an extraction of an archive writes, after all its checks; the first violation raises."""
+def extract_rows(spark: SparkSession, given, *, with_body: bool = True, keep_bodies: bool = False, plugins: list[Plugin] | None = None, legacy_plugins: bool = False, filter=None, map=None, **options) -> tuple[DataFrame, extraction.Plan]:
+    """The rows that an extraction of an archive writes, after all its checks; the first violation raises.
+
+    Bodies are read again for the rows that stay; ``keep_bodies`` reads them once and keeps those of all rows meanwhile.
+    """
     limits, rest = _split(options)
     opts = extraction.Options(limits=limits, filter=filter, map=map or {}, **rest)
     files, parsed = _parsed(spark, given, limits, with_body, plugins, legacy_plugins)
-    slim = cut(parsed.drop("body"))
+    if keep_bodies:
+        parsed = cut(parsed)
+    slim = parsed.drop("body") if keep_bodies else cut(parsed.drop("body"))
     plan = extraction.plan(readers.entries(slim), files.select("archive_id", "archive_size"), opts)
     _raise_first(readers.failures(slim).unionByName(plan.violations))
     rows = plan.entries
-    if with_body:  # bodies are read again for the rows that stay, not kept for all
+    if with_body:
         bodies = readers.entries(parsed).select(F.col("archive_id").alias("__id"), F.col("entry_index").alias("__at"), "body")
         rows = rows.join(bodies, (F.col("archive_id") == F.col("__id")) & (F.col("entry_index") == F.col("__at")), "left").drop("__id", "__at")
     return rows, plan
 
 
-def extract(spark: SparkSession, given, output: str | None = None, *, overwrite: bool = False, on_warning=None, on_entry=None, **options) -> ExtractResult:
-    """Extracts one archive below ``output``: all of it or, after any violation, nothing."""
+def extract(spark: SparkSession, given, output: str | None = None, *, overwrite: bool = False, symlink_fallback: str = "error", on_warning=None, on_entry=None, on_progress=None, signal: threading.Event | None = None, **options) -> ExtractResult:
+    """Extracts one archive below ``output``: all of it or, after any violation or when ``signal`` is set, nothing.
+
+    ``on_entry`` gets each entry that was written, ``on_progress`` the entries and bytes so far and their number.
+    """
     began = time.time()
     if output is not None:
         sinks.check_output(output, overwrite)
-    rows, plan = extract_rows(spark, given, **options)
-    shown = extraction.reported(plan.entries)
-    if output is not None:
-        if rows.select("archive_id").distinct().limit(2).count() > 1:
-            raise E.InvalidInputError("a tree is written from one archive")
-        sinks.write_tree(rows, output, overwrite, options.get("concurrency", 8))
-    warnings = [w.asDict() for w in plan.warnings.orderBy("archive_id", "entry_index").collect()]
+    with abortable(spark, signal) as check:
+        rows, plan = extract_rows(spark, given, **options)
+        shown = extraction.reported(plan.entries)
+        fallen: list[dict] = []
+        if output is not None:
+            if rows.select("archive_id").distinct().limit(2).count() > 1:
+                raise E.InvalidInputError("a tree is written from one archive")
+            fallen = sinks.write_tree(rows, output, overwrite, options.get("concurrency", 8), symlink_fallback, check)
+    warnings = [w.asDict() for w in plan.warnings.orderBy("archive_id", "entry_index").toLocalIterator()] + fallen
     for w in warnings:
         on_warning and on_warning(w)
-    if on_entry:
-        for e in shown.orderBy("archive_id", "entry_index").toLocalIterator():
-            on_entry(e.asDict())
-    total = shown.agg(F.sum("size")).first()[0] or 0
-    formats = [r[0] for r in shown.select("source_format").distinct().orderBy("source_format").collect()]
-    return ExtractResult(shown.drop("normalized"), warnings, output, total, formats, int((time.time() - began) * 1000))
-
-
+    summed = shown.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("source_format")).alias("formats")).first()
+    if on_entry or on_progress:
+        written = 0
+        for n, e in enumerate(shown.orderBy("archive_id", "entry_index").toLocalIterator(), 1):
+            written += e["size"]
+            on_entry and on_entry(e.asDict())
+            on_progress and on_progress({"entries_processed": n, "entries_total": summed.n, "bytes_processed": written})
+    return ExtractResult(shown.drop("normalized"), warnings, output, summed.bytes or 0, summed.formats, int((time.time() - began) * 1000))

@@ -9,6 +9,7 @@ import sys
 
 from . import api
 from . import errors as E
+from . import __version__
 
 _KNOWN = re.compile(r"\.(zip|tar|tar\.gz|tgz|tar\.bz2|tbz2?|tar\.zst|tzst)\Z", re.I)
 
@@ -21,10 +22,11 @@ def default_output(archive: str) -> str:
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("tarnhold", description=__doc__)
+    p.add_argument("-v", "--version", action="version", version=__version__)
     p.add_argument("command", choices=["extract", "list", "audit"])
     p.add_argument("archive")
     p.add_argument("output", nargs="?")
-    p.add_argument("--strip", type=int, default=0)
+    p.add_argument("-s", "--strip", type=int, default=0)
     p.add_argument("--overwrite", action="store_true")
     p.add_argument("--duplicates", choices=["error", "skip", "overwrite"], default="error")
     p.add_argument("--allow-symlinks", action="store_true")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import fold_case
@@ -12,15 +12,19 @@ def mark(entries: DataFrame) -> DataFrame:
     """Adds duplicate and case_collision to entries with ``normalized``; rows without it take part in neither.
 
     A path is a duplicate if the same one stands earlier, a collision if the first spelling of the same letters differs.
+    The first places are minima, summed up before they are shuffled, and a join brings them back: a path that a large part
+    of all entries has is no hot window, and rows that land nowhere are in no join.
     """
-    ordered = lambda *key: Window.partitionBy("archive_id", *key).orderBy("entry_index")
-    there = F.col("normalized").isNotNull()
-    rows = entries.withColumn("__folded", fold_case(F.col("normalized")))
-    rows = rows.withColumns({
-        "duplicate": there & (F.row_number().over(ordered("normalized")) > 1),
-        "case_collision": there & F.coalesce(F.first("normalized").over(ordered("__folded")) != F.col("normalized"), F.lit(False)),
-    })
-    return rows.drop("__folded")
+    there = entries.where("normalized IS NOT NULL")
+    first = there.groupBy(F.col("archive_id").alias("__id"), F.col("normalized").alias("__path")).agg(F.min("entry_index").alias("__first"))
+    first = first.withColumn("__folded", fold_case(F.col("__path")))
+    spelled = first.groupBy("__id", "__folded").agg(F.min(F.struct("__first", "__path"))["__path"].alias("__spelled"))
+    first = first.join(spelled.select(F.col("__id").alias("__sid"), F.col("__folded").alias("__letters"), "__spelled"), F.col("__id").eqNullSafe(F.col("__sid")) & (F.col("__folded") == F.col("__letters")))
+    rows = there.join(first.select("__id", "__path", "__first", "__spelled"), F.col("archive_id").eqNullSafe(F.col("__id")) & (F.col("normalized") == F.col("__path")))
+    rows = rows.withColumns({"duplicate": F.col("entry_index") > F.col("__first"), "case_collision": F.col("__spelled") != F.col("normalized")})
+    names = [*entries.columns, "duplicate", "case_collision"]
+    none = entries.where("normalized IS NULL").withColumns({"duplicate": F.lit(False), "case_collision": F.lit(False)})
+    return rows.select(*names).unionByName(none.select(*names))
 
 
 def duplicate_paths(entries: DataFrame) -> DataFrame:

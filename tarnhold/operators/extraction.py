@@ -6,30 +6,42 @@ are a relation: a caller looks at them before any sink runs, so a failing archiv
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import errors as E
 from ..cuts import cut
 from ..functions.limits import DEFAULT_LIMITS, MAX_SAFE, Limits
 from ..functions.modes import sanitize_mode
+from ..functions.scalar import validate_mapped_entry
 from ..functions.paths import link_escapes, normalize_path, path_error_code, strip_dot_segments, strip_segments, with_nfc
 from . import budgets, dedup, links
 from .validation import mapped_error, structural_error
 
-STAGES = {"record": 0, "files": 1, "entry_size": 2, "overflow": 3, "total": 4, "ratio": 5, "raw_path": 6, "mapped": 8, "mapped_path": 9, "normalize": 10, "duplicate": 11, "case": 12, "refused": 13, "through": 14, "not_directory": 15, "escape": 16, "target": 17}
+STAGES = {"record": 0, "files": 1, "entry_size": 2, "overflow": 3, "total": 4, "ratio": 5, "raw_path": 6, "user": 7, "mapped": 8, "mapped_path": 9, "normalize": 10, "duplicate": 11, "case": 12, "refused": 13, "through": 14, "not_directory": 15, "escape": 16, "target": 17}
+
+
+_MAPPED = ("path", "type", "size", "mode", "link_target")
 
 
 @dataclass(frozen=True)
 class Options:
-    """Options of an extraction; columns of ``map`` replace those of the entry (path, type, size, mode, link_target)."""
+    """Options of an extraction.
+
+    ``filter`` is a column, or a function from an entry (dict) to whether it stays.  ``map`` has columns that replace those
+    of the entry (path, type, size, mode, link_target), or is a function from an entry to the entry it becomes.  Functions
+    run in Python workers, so columns are the faster way; one that raises is the violation ``USER_FUNCTION_ERROR``.
+    """
 
     limits: Limits = DEFAULT_LIMITS
     strip: int = 0
-    filter: Column | None = None
-    map: dict[str, Column] = field(default_factory=dict)
+    filter: Column | Callable[[dict], bool] | None = None
+    map: dict[str, Column] | Callable[[dict], dict] = field(default_factory=dict)
     duplicates: str = "error"
     case_insensitive: bool = False
     allow_symlinks: bool = False
@@ -49,8 +61,13 @@ class Options:
             raise E.InvalidInputError("duplicates must be error, skip or overwrite")
         if self.platform not in ("posix", "windows"):
             raise E.InvalidInputError("platform must be posix or windows")
-        if unknown := set(self.map) - {"path", "type", "size", "mode", "link_target"}:
+        if not isinstance(self.map, dict):
+            if not callable(self.map):
+                raise E.InvalidInputError("map must be columns or a function")
+        elif unknown := set(self.map) - set(_MAPPED):
             raise E.InvalidInputError(f"map of unknown columns: {sorted(unknown)}")
+        if self.filter is not None and not isinstance(self.filter, Column) and not callable(self.filter):
+            raise E.InvalidInputError("filter must be a column or a function")
 
 
 @dataclass
@@ -82,6 +99,43 @@ def _row_checks(entries: DataFrame, archives: DataFrame, o: Options) -> DataFram
     return rows.withColumn("__first", first).drop("running_size", "archive_size")
 
 
+#: What a caller's functions see of an entry.
+_SHOWN = ("path", "type", "mode", "mtime", "link_target", "size", "source_format", "raw_path", "raw_mode", "disposition")
+
+
+def _called(rows: DataFrame, keep: Callable[[dict], bool] | None, change: Callable[[dict], dict] | None) -> DataFrame:
+    """``rows`` after a caller's functions: without what ``keep`` refuses; ``__user`` says what raised, ``__mapped`` what
+    is wrong with a record that ``change`` gave."""
+    names = rows.columns
+    fields = [(f.name, f.dataType) for f in rows.schema] + [("__user", StringType()), ("__mapped", StringType())]
+    schema = StructType([StructField(name, kind, True) for name, kind in fields])
+
+    def one(r: dict) -> dict | None:
+        entry = {k: r[k] for k in _SHOWN if k in r} | {"disposition": "extracted"}
+        said = {"__user": None, "__mapped": None}
+        try:
+            if keep is not None and not keep(entry):
+                return None
+            made = entry if change is None else change(dict(entry))
+        except Exception as e:  # whatever a caller's function raises
+            return r | said | {"__user": f"{type(e).__name__}: {e}"[:500]}
+        if change is None:
+            return r | said
+        try:
+            validate_mapped_entry(made)
+            return r | {k: made.get(k) for k in _MAPPED} | said
+        except E.PluginInvalidEntryError as e:
+            return r | said | {"__mapped": str(e)}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [x for x in map(one, batch.to_pylist()) if x is not None]
+            types = {n: t for n, t in zip(batch.schema.names, batch.schema.types)} | {"__user": pa.string(), "__mapped": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in got], types[n]) for n in types], names=list(types))
+
+    return rows.select(*names).mapInArrow(run, schema)
+
+
 def plan(entries: DataFrame, archives: DataFrame, options: Options | None = None) -> Plan:
     """The relations of an extraction of ``entries`` (``schema.CORE`` and whatever else; bodies are better joined to the result)."""
     o = options or Options()
@@ -94,21 +148,28 @@ def plan(entries: DataFrame, archives: DataFrame, options: Options | None = None
     warnings = [stripped.where("__stripped = ''").select("archive_id", "entry_index", F.lit("path_strip_collapsed").alias("code"), F.col("raw_path").alias("entry_path"))]
     rows = stripped.where("__stripped <> ''")
     rows = rows.withColumns({"path": F.col("__stripped"), "size": F.coalesce("size", F.lit(0)).cast("bigint"), "mode": sanitize_mode(F.col("mode"), F.col("type"), o.preserve_permissions, o.umask)})
-    if o.filter is not None:
+    keep = None if o.filter is None or isinstance(o.filter, Column) else o.filter
+    change = None if isinstance(o.map, dict) else o.map
+    if isinstance(o.filter, Column):
         rows = rows.where(F.coalesce(o.filter, F.lit(False)))
     wrong = F.lit(None).cast("string")
-    if o.map:
+    if keep or change:
+        rows = _called(rows, keep, change)
+        wrong = F.col("__mapped")
+    else:
+        rows = rows.withColumn("__user", F.lit(None).cast("string"))
+    if isinstance(o.map, dict) and o.map:
         rows = rows.withColumns({k: v.cast(rows.schema[k].dataType) for k, v in o.map.items()})
-        wrong = mapped_error()
-    rows = rows.withColumn("__wrong", wrong)
+        wrong = F.coalesce(wrong, mapped_error())
+    rows = rows.withColumn("__wrong", wrong).drop("__mapped")
     rows = rows.withColumn("normalized", normalize_path(F.col("path"))) if o.ascii_only else with_nfc(rows, "path", "__nfc").withColumn("normalized", normalize_path(F.col("__nfc"))).drop("__nfc")
     code = path_error_code(F.col("path"), o.limits, o.platform)
     said = lambda stage, c: F.struct(F.lit(STAGES[stage]).alias("stage"), (F.lit(c) if isinstance(c, str) else c).alias("code"))
-    late = F.when(F.col("__wrong").isNotNull(), said("mapped", "PLUGIN_INVALID_ENTRY")).when(code.isNotNull(), said("mapped_path", code)).when(F.col("normalized").isNull(), said("normalize", "PATH_TRAVERSAL"))
+    late = F.when(F.col("__user").isNotNull(), said("user", "USER_FUNCTION_ERROR")).when(F.col("__wrong").isNotNull(), said("mapped", "PLUGIN_INVALID_ENTRY")).when(code.isNotNull(), said("mapped_path", code)).when(F.col("normalized").isNull(), said("normalize", "PATH_TRAVERSAL"))
     rows = rows.withColumn("__late", late)
     rows = cut(rows)
     violations = violations.unionByName(rows.where("__late IS NOT NULL").select("archive_id", "entry_index", "__late.stage", F.col("__late.code").alias("error_code")))
-    rows = cut(dedup.mark(rows.where("__late IS NULL").drop("__late", "__wrong")))
+    rows = cut(dedup.mark(rows.where("__late IS NULL").drop("__late", "__wrong", "__user")))
     if not o.case_insensitive:
         rows = rows.withColumn("case_collision", F.lit(False))
     clash = F.when(F.col("duplicate"), said("duplicate", "DUPLICATE_PATH")).when(F.col("case_collision"), said("case", "CASE_COLLISION"))

@@ -6,7 +6,8 @@ hostile form that the path rules know.  Backslashes are ``chr(92)``, as the two
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _K = "(CAST(floor(doc_id / 20) AS BIGINT) % 32)"
 _B = "chr(92)"
@@ -57,9 +58,32 @@ ENTRIES = {
 }
 
 
+#: Relations whose archives may hold a large part of a table: what numbers their entries, a whole number.
+_NUMBERED = {"doc_entries": "doc_id", "part_entries": "p_partkey", "url_entries": "page_id"}
+STRETCH = 4096
+
+
+def numbered(df: DataFrame, group: str, order: str, out: str) -> DataFrame:
+    """Places from 0 on in the order of a whole number, by stretches of it: only sums per stretch are in a group's window.
+
+    Rows of a group with equal numbers have neighbouring places in no set order.
+    """
+    rows = df.withColumns({"__group": F.expr(group), "__stretch": F.floor(F.col(order) / STRETCH)})
+    sums = rows.groupBy(F.col("__group").alias("__of"), F.col("__stretch").alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__of").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__of", "__at", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__group", "__stretch").orderBy(order)) - 1
+    rows = rows.withColumn("__within", within).join(sums, F.col("__group").eqNullSafe(F.col("__of")) & F.col("__stretch").eqNullSafe(F.col("__at")))
+    return rows.withColumn(out, (F.col("__before") + F.col("__within")).cast("bigint"))
+
+
 def entries(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, columns = ENTRIES[name]
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*[f"{v} AS {k}" for k, v in columns.items()])
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if name in _NUMBERED:
+        rows = numbered(rows, columns["archive_id"], _NUMBERED[name], "__place")
+        columns = {**columns, "entry_index": "__place"}
+    return rows.selectExpr(*[f"{v} AS {k}" for k, v in columns.items()])
 
 
 def sql(name: str) -> str:

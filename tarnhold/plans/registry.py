@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import modes, paths
 from ..functions.limits import DEFAULT_LIMITS, Limits
+from ..cuts import shared_folder
 from ..operators import audit, budgets, dedup, extraction, links, listing, validation
 from ..sources import detect, plugins, readers, writers
 from . import derived, oracles
@@ -46,30 +47,17 @@ _PEEKS = ["504B0304", "504B0306", "504B0506", "504B0708", "504B0102", "1F8B0800"
 
 @query()
 def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Magic bytes of given prefixes, of a TAR header, and of the first bytes of document texts."""
+    """Magic bytes of given prefixes and of a TAR header, and document texts as archives: the bytes the operator looks at, and all bytes as the size."""
     given = spark.createDataFrame([(p, 100) for p in _PEEKS] + [("00" * 257 + "7573746172", 1024), ("00" * 512, 1024), ("00" * 512, 1000)], "peek string, size bigint")
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.hex(F.encode(F.substring("text", 1, 8), "UTF-8")).alias("peek"), F.col("n_chars").alias("size"))
-    return given.union(texts).select("peek", "size", detect.detected(F.unhex("peek"), F.col("size")).alias("detected"))
-
-
-ORACLES["detect_format"] = (
-    "WITH p AS (SELECT unnest([" + ", ".join(f"'{p}'" for p in _PEEKS) + "]) AS peek, CAST(100 AS BIGINT) AS size UNION ALL SELECT concat(repeat('00', 257), '7573746172'), 1024 UNION ALL SELECT repeat('00', 512), 1024 UNION ALL SELECT repeat('00', 512), 1000"
-    " UNION ALL SELECT hex(encode(substring(text, 1, 8))), n_chars FROM documents)"
-    " SELECT peek, size, CASE WHEN length(peek) < 8 THEN NULL WHEN peek[1:4] = '504B' AND peek[5:6] IN ('03', '05', '07') AND peek[7:8] IN ('04', '06', '08') THEN 'zip' WHEN peek[1:4] = '1F8B' THEN 'tar.gz' WHEN peek[1:6] = '425A68' THEN 'tar.bz2'"
-    " WHEN peek[1:8] = '28B52FFD' THEN 'tar.zst' WHEN peek[515:524] = '7573746172' THEN 'tar' WHEN size >= 1024 AND size % 512 = 0 AND peek = repeat('00', 512) THEN 'tar' END AS detected FROM p"
-)
-
-
-@query()
-def detect_format_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document texts as archives: the bytes the operator looks at, and all bytes as the size."""
     data = F.encode("text", "UTF-8")
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring(data, 1, detect.PEEK).alias("peek"), F.octet_length(data).cast("bigint").alias("size"))
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring(data, 1, detect.PEEK).alias("peek"), F.octet_length(data).cast("bigint").alias("size"))
+    rows = given.select(F.lit(None).cast("bigint").alias("doc_id"), F.unhex("peek").alias("peek"), "size").union(texts)
     return rows.select("doc_id", F.hex("peek").alias("peek"), "size", detect.detected(F.col("peek"), F.col("size")).alias("detected"))
 
 
-ORACLES["detect_format_whole"] = (
-    f"WITH p AS (SELECT doc_id, hex(encode(text))[1:{2 * detect.PEEK}] AS peek, octet_length(encode(text)) AS size FROM documents)"
+ORACLES["detect_format"] = (
+    "WITH p AS (SELECT CAST(NULL AS BIGINT) AS doc_id, unnest([" + ", ".join(f"'{p}'" for p in _PEEKS) + "]) AS peek, CAST(100 AS BIGINT) AS size UNION ALL SELECT NULL, concat(repeat('00', 257), '7573746172'), 1024 UNION ALL SELECT NULL, repeat('00', 512), 1024 UNION ALL SELECT NULL, repeat('00', 512), 1000"
+    f" UNION ALL SELECT doc_id, hex(encode(text))[1:{2 * detect.PEEK}], octet_length(encode(text)) FROM documents)"
     " SELECT doc_id, peek, size, CASE WHEN length(peek) < 8 THEN NULL WHEN peek[1:4] = '504B' AND peek[5:6] IN ('03', '05', '07') AND peek[7:8] IN ('04', '06', '08') THEN 'zip' WHEN peek[1:4] = '1F8B' THEN 'tar.gz' WHEN peek[1:6] = '425A68' THEN 'tar.bz2'"
     f" WHEN peek[1:8] = '28B52FFD' THEN 'tar.zst' WHEN peek[515:524] = '7573746172' THEN 'tar' WHEN size >= 1024 AND size % 512 = 0 AND peek = repeat('00', {detect.PEEK}) THEN 'tar' END AS detected FROM p"
 )
@@ -91,16 +79,9 @@ def normalize_path_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.normalized(_docs(spark, sf_dir), ascii_only=True).select("archive_id", "entry_index", "normalized")
 
 
-@query(f"SELECT doc_id, {oracles.normalized('p')} AS normalized FROM (SELECT doc_id, substring(replace(text, chr(10), '/'), 1, 60) AS p FROM documents)")
-def normalize_path_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text beyond ASCII as paths: those rows alone go through Arrow."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring(F.translate("text", "\n", "/"), 1, 60).alias("path"))
-    return audit.normalized(rows).select("doc_id", "normalized")
-
-
 @query(f"SELECT doc_id, {oracles.normalized('p')} AS normalized FROM (SELECT doc_id, replace(text, chr(10), '/') AS p FROM documents)")
-def normalize_path_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts as paths, ASCII or not."""
+def normalize_path_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as paths.  Those beyond ASCII alone go through Arrow."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.translate("text", "\n", "/").alias("path"))
     return audit.normalized(rows).select("doc_id", "normalized")
 
@@ -295,6 +276,13 @@ def filter_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.entries.select("archive_id", "entry_index", "path", "size", "raw_path", "disposition")
 
 
+@query("SELECT archive_id, entry_index, moved AS path, size, path AS raw_path, 'renamed' AS disposition FROM kept", extra=_MAP)
+def filter_map_called(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same filter and map as a caller's functions."""
+    plan = _plan(spark, sf_dir, filter=lambda e: e["type"] == "file" and e["size"] > 1000, map=lambda e: {**e, "path": "out/" + e["path"]})
+    return plan.entries.select("archive_id", "entry_index", "path", "size", "raw_path", "disposition")
+
+
 @query(f"SELECT archive_id, entry_index, landing AS path, type, CASE WHEN type IN ('symlink', 'hardlink') THEN 0 ELSE {oracles.sanitized('mode', 'type')} END AS mode, CASE WHEN type = 'file' THEN coalesce(size, 0) ELSE 0 END AS size, link_target AS linkname FROM written", extra=oracles.EXTRACT)
 def compat_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .. import compat
@@ -354,21 +342,82 @@ ORACLES["plugin_source"] = "SELECT archive_id, k - 1 AS entry_index, concat('lin
 
 
 def drop_dir_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream over a folder of dropped archives, run until it has seen all that are there."""
-    import os
-    import tempfile
-
+    """The stream over archives that executors drop into the shared folder, run until it has seen all that are there."""
     from ..streaming import dropdir
 
-    folder = tempfile.mkdtemp(prefix="tarnhold-drop-")
-    os.makedirs(f"{folder}/in")
-    for r in _packed(spark, sf_dir, "zip").toLocalIterator():
-        with open(f"{folder}/in/{r.archive_id}.zip", "wb") as f:
-            f.write(r.content)
-    dropdir.audit_to(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state").awaitTermination()
-    out = spark.read.parquet(f"{folder}/out")
-    return out.select(F.regexp_extract("archive_id", r"([0-9]+)\.zip$", 1).alias("archive_id"), "risk_level", "entry_count", "total_size", "detected_format")
+    folder = shared_folder(spark, "drop")
+    _packed(spark, sf_dir, "zip").write.parquet(f"{folder}/in")
+    dropdir.audit_to(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", table=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("archive_id", "risk_level", "entry_count", "total_size", "detected_format")
 
 
 QUERIES["drop_dir_stream"] = drop_dir_stream
 ORACLES["drop_dir_stream"] = f"SELECT {_BUNDLE} AS archive_id, 'low' AS risk_level, count(*) AS entry_count, CAST(sum(octet_length(encode(text))) AS BIGINT) AS total_size, 'zip' AS detected_format FROM documents GROUP BY 1"
+
+
+@query()
+def actual_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits over the bytes that really came out of archives."""
+    rows = readers.entries(readers.parse(_packed(spark, sf_dir, "tar.zst"), with_body=True)).select("archive_id", "entry_index", "actual_bytes")
+    archives = rows.select("archive_id").distinct().withColumn("archive_size", F.lit(_CLAIMED).cast("bigint"))
+    return budgets.actual_budget(rows, archives, _SMALL).select("archive_id", "entry_index", F.col("running_size").cast("bigint").alias("running_size"), "ratio", "error_code")
+
+
+_CLAIMED, _SMALL = 1000, Limits(max_files=45, max_entry_size=20_000, max_total_size=150_000, max_compression_ratio=120)
+ORACLES["actual_budget"] = (
+    f"WITH e AS (SELECT {_BUNDLE} AS archive_id, row_number() OVER (PARTITION BY {_BUNDLE} ORDER BY doc_id) - 1 AS entry_index, octet_length(encode(text)) AS size FROM documents),"
+    " r AS (SELECT *, CAST(sum(size) OVER (PARTITION BY archive_id ORDER BY entry_index) AS BIGINT) AS running_size FROM e)"
+    f" SELECT archive_id, entry_index, running_size, CAST(running_size AS DOUBLE) / {_CLAIMED} AS ratio, CASE WHEN entry_index >= 45 THEN 'LIMIT_FILE_COUNT' WHEN size > 20000 THEN 'LIMIT_ENTRY_SIZE' WHEN running_size > 150000 THEN 'LIMIT_TOTAL_SIZE' WHEN CAST(running_size AS DOUBLE) / {_CLAIMED} > 120 THEN 'LIMIT_COMPRESSION_RATIO' END AS error_code FROM r"
+)
+
+
+# --- damaged and hostile archives ----------------------------------------------------------
+
+#: Kinds of damage, dealt to archives by number: how it is read, and whether all its entries come before that.
+_DAMAGED = {0: (None, True), 1: ("CORRUPT_ARCHIVE", True), 2: ("TRUNCATED_ARCHIVE", True), 3: ("TRUNCATED_ARCHIVE", True), 4: ("CORRUPT_ARCHIVE", False), 5: (None, True), 6: ("CORRUPT_ARCHIVE", False), 7: ("UNKNOWN_FORMAT", False), 8: ("CORRUPT_ARCHIVE", True), 9: ("TRUNCATED_ARCHIVE", True)}
+
+
+def damaged_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives with a wrong checksum, without a trailer, cut off, encrypted, with entries behind a block of zeros, of unknown types and with junk at their ends."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(f"{_BUNDLE} AS archive_id", "doc_id % 50 AS entry_index", "concat(lang, '/', doc_id, '.txt') AS path", "text AS body")
+    files = writers.pack_damaged(docs, len(_DAMAGED))
+    parsed = readers.parse(files)
+    told = parsed.groupBy("archive_id").agg(F.count(F.when(F.col("kind") == "entry", 1)).alias("n"), F.max(F.when(F.col("kind") == "error", F.col("error_code"))).alias("error_code"))
+    whole = [k for k, (_, all_) in _DAMAGED.items() if all_]
+    return told.select("archive_id", "error_code", F.when((F.col("archive_id").cast("bigint") % len(_DAMAGED)).isin(whole), F.col("n")).alias("n_entries"))
+
+
+QUERIES["damaged_archives"] = damaged_archives
+ORACLES["damaged_archives"] = (
+    f"SELECT archive_id, CASE k {' '.join(f'WHEN {k} THEN ' + repr(c) for k, (c, _) in _DAMAGED.items() if c)} END AS error_code, CASE WHEN k IN ({', '.join(str(k) for k, (_, all_) in _DAMAGED.items() if all_)}) THEN n END AS n_entries"
+    f" FROM (SELECT {_BUNDLE} AS archive_id, CAST(floor(any_value(doc_id) / 50) AS BIGINT) % {len(_DAMAGED)} AS k, count(*) AS n FROM documents GROUP BY 1)"
+)
+
+#: What documents become by their number: columns of the entry, and the findings it brings.
+_HOSTILE = {
+    0: ("'symlink'", "511", "concat('link_', doc_id)", "'../../x'", [("symlink_present", "medium"), ("symlink_escape", "critical")]),
+    1: ("'hardlink'", "420", "concat('hard_', doc_id)", "'/etc/passwd'", [("hardlink_present", "medium"), ("hardlink_escape", "critical")]),
+    2: ("'file'", "2541", "concat('bin/tool_', doc_id)", "NULL", [("setuid_bit", "high")]),
+    3: ("'file'", "420", "concat('../evil_', doc_id)", "NULL", [("path_traversal", "critical")]),
+    4: ("'file'", "420", "concat('a_', doc_id, '.txt:x')", "NULL", [("windows_ads_path", "high")]),
+    5: ("'directory'", "1021", "concat('dir_', doc_id)", "NULL", [("sticky_bit", "medium")]),
+    6: ("'symlink'", "511", "concat('ok_', doc_id)", "'target'", [("symlink_present", "medium")]),
+    7: ("'file'", "420", "concat(chr(67), ':', doc_id)", "NULL", [("absolute_path", "critical"), ("windows_drive_absolute", "critical"), ("windows_ads_path", "high")]),
+    8: ("'file'", "420", "concat('plain_', doc_id)", "NULL", []),
+}
+
+
+def hostile_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings over archives of links, modes and paths that readers have to bring through."""
+    from .. import api
+
+    of = lambda i: "CASE doc_id % 9 " + " ".join(f"WHEN {k} THEN {v[i]}" for k, v in _HOSTILE.items()) + " END"
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(f"{_BUNDLE} AS archive_id", "doc_id % 50 AS entry_index", f"{of(2)} AS path", "text AS body", f"{of(0)} AS type", f"CAST({of(1)} AS INT) AS mode", f"CAST({of(3)} AS STRING) AS link_target")
+    files = writers.pack_groups(rows, "tar")
+    found = api.audit_relations(files, readers.parse(files), DEFAULT_LIMITS).findings
+    return found.groupBy("archive_id", "code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["hostile_audit"] = hostile_audit
+_brings = ", ".join(f"({k}, '{c}', '{s}')" for k, v in _HOSTILE.items() for c, s in v[4])
+ORACLES["hostile_audit"] = f"SELECT {_BUNDLE} AS archive_id, code, severity, count(*) AS n FROM documents JOIN (VALUES {_brings}) AS f(k, code, severity) ON doc_id % 9 = k GROUP BY ALL"

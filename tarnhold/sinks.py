@@ -45,12 +45,43 @@ def _drop(staging: str) -> None:
         shutil.rmtree(staging, ignore_errors=True)
 
 
-def write_tree(rows: DataFrame, folder: str, overwrite: bool = False, concurrency: int = 8) -> None:
+def _held(staging: str, folder: str, target: str) -> None:
+    """Raises if a target that is there lies, after all links on its way, outside the tree."""
+    if os.path.exists(target):
+        real, root = os.path.realpath(target), os.path.realpath(staging)
+        if real != root and not real.startswith(root + os.sep):
+            raise E.LinkEscapeError(f"link leaves {folder}: {os.path.relpath(target, staging)}")
+
+
+def _put_symlink(staging: str, folder: str, row, fallback: str, said: list[dict]) -> None:
+    at = os.path.join(staging, *row.normalized.split("/"))
+    os.makedirs(os.path.dirname(at), mode=0o755, exist_ok=True)
+    target = os.path.join(os.path.dirname(at), row.link_target)
+    _held(staging, folder, target)
+    try:
+        os.symlink(row.link_target, at)
+    except PermissionError:
+        if fallback == "error":
+            raise
+        if fallback == "hardlink":
+            os.link(target, at)
+        said.append({"entry_index": row.entry_index, "code": f"symlink_fallback_{fallback}", "entry_path": row.normalized})
+    else:
+        if row.mtime is not None:
+            os.utime(at, (row.mtime.timestamp(),) * 2, follow_symlinks=False)
+
+
+def write_tree(rows: DataFrame, folder: str, overwrite: bool = False, concurrency: int = 8, symlink_fallback: str = "error", before_commit=None) -> list[dict]:
     """Writes rows of one archive (path, normalized, type, mode, mtime, link_target, body) below ``folder``.
 
     Executors write into a folder beside the output, which both must share; it is renamed when everything is there, so
-    the output has all or nothing.  Of equal paths the last entry counts.
+    the output has all or nothing.  Of equal paths the last entry counts.  A link's target must stay inside also after
+    the links on its way.  Where the system refuses symlinks, ``symlink_fallback`` makes hardlinks or skips them; the
+    warnings of that are returned.  ``before_commit`` is called when everything is written and may raise.
     """
+    if symlink_fallback not in ("error", "hardlink", "skip"):
+        raise E.InvalidInputError("symlink_fallback must be error, hardlink or skip")
+    said: list[dict] = []
     folder = os.path.abspath(folder)
     check_output(folder, overwrite)
     staging = os.path.join(os.path.dirname(folder), f"{_PREFIX}{uuid.uuid4().hex}.tmp")
@@ -62,29 +93,34 @@ def write_tree(rows: DataFrame, folder: str, overwrite: bool = False, concurrenc
         dirs = last.where("type = 'directory'").select("normalized", "mode", "mtime")
         for r in dirs.toLocalIterator():
             os.makedirs(os.path.join(staging, *r.normalized.split("/")), mode=0o755, exist_ok=True)
-        links = last.where("type IN ('symlink', 'hardlink')").select("normalized", "type", "link_target", "entry_index").orderBy("entry_index")
+        links = last.where("type IN ('symlink', 'hardlink')").select("normalized", "type", "link_target", "mtime", "entry_index").orderBy("entry_index")
         waiting = []
         for r in links.toLocalIterator():
-            at = os.path.join(staging, *r.normalized.split("/"))
-            os.makedirs(os.path.dirname(at), mode=0o755, exist_ok=True)
             if r.type == "symlink":
-                os.symlink(r.link_target, at)
+                _put_symlink(staging, folder, r, symlink_fallback, said)
             else:
+                at = os.path.join(staging, *r.normalized.split("/"))
+                os.makedirs(os.path.dirname(at), mode=0o755, exist_ok=True)
                 waiting.append((os.path.join(staging, *r.link_target.split("/")), at))
         while waiting:  # a link may lead to another one
             ready = [(a, b) for a, b in waiting if os.path.lexists(a)]
             if not ready:
                 raise E.HardlinkTargetMissingError(f"hardlink without target: {waiting[0][1]}")
             for a, b in ready:
+                _held(staging, folder, a)
                 os.link(a, b, follow_symlinks=False)
             waiting = [w for w in waiting if w not in ready]
-        for r in sorted(dirs.toLocalIterator(), key=lambda r: -r.normalized.count("/")):  # the deepest first
+        deepest = F.size(F.split("normalized", "/"))
+        for r in dirs.orderBy(deepest.desc(), "normalized").toLocalIterator():  # the deepest first
             at = os.path.join(staging, *r.normalized.split("/"))
             if r.mtime is not None:
                 os.utime(at, (r.mtime.timestamp(),) * 2)
             os.chmod(at, r.mode)
         os.chmod(staging, 0o755)
+        if before_commit:
+            before_commit()
         _commit(staging, folder)
+        return said
     finally:
         _drop(staging)
 

@@ -27,7 +27,8 @@ def _claims(plugin: Plugin, peek: bytes) -> bool:
 
 
 def pick(plugins: list[Plugin], fmt: str | None, peek: bytes, legacy_allowed: bool = False) -> Plugin | None:
-    """The plugin for an archive: one that claims it, else one of its format, else the only one; None for the known readers."""
+    """The plugin for an archive: the first that claims it, else the first of its format, else the only one, whatever it
+    names; None if there is none or several and none fits."""
     if any(p.legacy for p in plugins) and not legacy_allowed:
         raise E.LegacyPluginNotEnabledError("a legacy plugin must be allowed")
     for p in plugins:
@@ -36,7 +37,7 @@ def pick(plugins: list[Plugin], fmt: str | None, peek: bytes, legacy_allowed: bo
     for p in plugins:
         if fmt and fmt in p.formats:
             return p
-    return plugins[0] if len(plugins) == 1 and not plugins[0].formats and plugins[0].detect is None else None
+    return plugins[0] if len(plugins) == 1 else None
 
 
 def legacy(name: str, unpack: Callable[[bytes], list[dict]], **more) -> Plugin:

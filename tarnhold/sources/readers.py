@@ -51,6 +51,12 @@ class _Budget:
     def __init__(self, limits: Limits, archive_size: int) -> None:
         self.limits, self.archive_size, self.total = limits, archive_size, 0
 
+    def pass_over(self, n: int) -> None:
+        """Counts bytes that belong to no entry."""
+        self.total += n
+        if self.total > self.limits.max_total_size:
+            raise _Stop("LIMIT_TOTAL_SIZE", f"archive has over {self.limits.max_total_size} bytes")
+
     def read(self, stream, size: int | None, keep: bool) -> tuple[int, bytes | None]:
         parts, n = [], 0
         while size is None or n < size:
@@ -114,8 +120,11 @@ def _pax(data: bytes) -> dict[str, str]:
     return out
 
 
+_ZEROS = bytes(512)
+
+
 def _exactly(stream, n: int) -> bytes:
-    data = stream.read(n)
+    data = stream.read(n) if n else b""
     while len(data) < n:
         more = stream.read(n - len(data))
         if not more:
@@ -125,14 +134,24 @@ def _exactly(stream, n: int) -> bytes:
 
 
 def read_tar(stream, fmt: str, archive_size: int, limits: Limits, with_body: bool) -> Iterator[dict]:
-    """Headers in order; each body is read to its end before the next header.  An archive without its end block is cut off."""
+    """Headers in order; each body is read to its end before the next header.
+
+    The stream is read to its very end: blocks of zeros are passed over wherever they stand, so what hides behind them is
+    seen, and so is damage at the end of a compressed stream.  An archive may end after any whole entry.
+    """
     budget = _Budget(limits, archive_size)
     shared: dict[str, str] = {}
     own: dict[str, str] = {}
     while True:
-        block = _exactly(stream, 512)
-        if not any(block):
+        block = stream.read(512)
+        if not block:
+            if own:
+                raise _Stop("TRUNCATED_ARCHIVE", "unexpected end of data")
             return
+        block += _exactly(stream, 512 - len(block))
+        if block == _ZEROS:
+            budget.pass_over(512)
+            continue
         info = tarfile.TarInfo.frombuf(block, "utf-8", "surrogateescape")
         if info.type in (b"x", b"g", b"L", b"K"):
             if info.size > 1 << 20:
@@ -175,17 +194,73 @@ def read_tar(stream, fmt: str, archive_size: int, limits: Limits, with_body: boo
             yield row
 
 
+class _Members:
+    """A gzip stream; what follows its last member and is no member is left aside."""
+
+    def __init__(self, data: bytes) -> None:
+        self.file, self.any = gzip.GzipFile(fileobj=io.BytesIO(data)), False
+
+    def read(self, n: int) -> bytes:
+        try:
+            got = self.file.read(n)
+        except gzip.BadGzipFile as e:
+            if self.any and str(e).startswith("Not a gzipped file"):
+                return b""
+            raise
+        self.any |= bool(got)
+        return got
+
+
+class _Frames:
+    """A stream of zstd frames; its library takes a cut frame for whole, so the frames are walked through at the end."""
+
+    def __init__(self, data: bytes) -> None:
+        import zstandard
+
+        self.data, self.file = data, zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True)
+
+    def read(self, n: int) -> bytes:
+        got = self.file.read(n)
+        if not got and n:
+            _whole_frames(self.data)
+        return got
+
+
+def _whole_frames(data: bytes) -> None:
+    """Raises where the last frame is cut off or no frame starts."""
+    at, cut = 0, "unexpected end of zstd data"
+    while at < len(data):
+        magic = int.from_bytes(data[at : at + 4], "little")
+        if magic & 0xFFFFFFF0 == 0x184D2A50:
+            at += 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+        elif magic != 0xFD2FB528:
+            raise ValueError("no zstd frame")
+        else:
+            if len(data) < at + 6:
+                raise EOFError(cut)
+            about = data[at + 4]
+            single = about >> 5 & 1
+            at += 5 + (not single) + (0, 1, 2, 4)[about & 3] + (single, 2, 4, 8)[about >> 6]
+            last = False
+            while not last:
+                if len(data) < at + 3:
+                    raise EOFError(cut)
+                head = int.from_bytes(data[at : at + 3], "little")
+                last, kind = bool(head & 1), head >> 1 & 3
+                at += 3 + (1 if kind == 1 else head >> 3)
+            at += 4 * (about >> 2 & 1)
+        if at > len(data):
+            raise EOFError(cut)
+
+
 def _stream(data: bytes, fmt: str):
-    raw = io.BytesIO(data)
     if fmt == "tar.gz":
-        return gzip.GzipFile(fileobj=raw)
+        return _Members(data)
     if fmt == "tar.bz2":
-        return bz2.BZ2File(raw)
+        return bz2.BZ2File(io.BytesIO(data))
     if fmt == "tar.zst":
-        import zstandard
-
-        return zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
-    return raw
+        return _Frames(data)
+    return io.BytesIO(data)
 
 
 def read_known(data: bytes, fmt: str, limits: Limits, with_body: bool) -> Iterator[dict]:
@@ -211,7 +286,7 @@ def records(archive_id: str, data: bytes, limits: Limits, with_body: bool, plugi
             raise _Stop("LIMIT_ARCHIVE_SIZE", f"archive has {len(data)} bytes, {limits.max_archive_size} allowed")
         fmt = detect_bytes(data[:PEEK], len(data))
         plugin = pick(plugins, fmt, data[:PEEK], legacy)
-        if plugin is None and fmt is None:
+        if plugin is None and (fmt is None or plugins):  # plugins that do not fit never fall back on the known readers
             raise _Stop("UNKNOWN_FORMAT", "the format of the archive is not known")
         rows: Iterable[dict] = plugin.parse(data, lambda code, message: warned.append({"code": code, "message": message})) if plugin else read_known(data, fmt, limits, with_body)
         for row in rows:

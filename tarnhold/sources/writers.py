@@ -51,13 +51,56 @@ def pack(rows: list[dict], fmt: str) -> bytes:
     return data
 
 
-def pack_groups(rows: DataFrame, fmt: str) -> DataFrame:
-    """archive_id, archive_size, content from rows (archive_id, entry_index, path, body) of small archives, each built by one task."""
+def _built(rows: DataFrame, build) -> DataFrame:
+    """archive_id, archive_size, content of small archives, each made by one task from its rows in order."""
+    more = [c for c in ("type", "mode", "link_target") if c in rows.columns]
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("entry_index")
-        data = pack([{"path": p, "body": bytes(b)} for p, b in zip(pdf.path, pdf.body)], fmt)
+        given = [{"path": r.path, "body": bytes(r.body or b""), **{c: getattr(r, c) for c in more}} for r in pdf.itertuples()]
+        data = build(pdf.archive_id.iloc[0], given)
         return pd.DataFrame({"archive_id": [pdf.archive_id.iloc[0]], "archive_size": [len(data)], "content": [data]})
 
-    cut = rows.select("archive_id", "entry_index", "path", F.col("body").cast("binary").alias("body"))
-    return cut.groupBy("archive_id").applyInPandas(build, "archive_id string, archive_size bigint, content binary")
+    cut = rows.select("archive_id", "entry_index", "path", F.col("body").cast("binary").alias("body"), *more)
+    return cut.groupBy("archive_id").applyInPandas(one, "archive_id string, archive_size bigint, content binary")
+
+
+def pack_groups(rows: DataFrame, fmt: str) -> DataFrame:
+    """archive_id, archive_size, content from rows (archive_id, entry_index, path, body, and type, mode, link_target if there) of small archives."""
+    return _built(rows, lambda name, given: pack(given, fmt))
+
+
+def damage(kind: int, rows: list[dict]) -> bytes:
+    """An archive of records that is broken, or looks so, in one of ten ways."""
+    tar, gz = pack(rows, "tar"), pack(rows, "tar.gz")
+    body = tar.rstrip(bytes(1))
+    body += bytes(-len(body) % 512)  # the entries without the blocks of zeros at the end
+    if kind == 1:  # the checksum is wrong
+        return gz[:-8] + bytes(x ^ 255 for x in gz[-8:-4]) + gz[-4:]
+    if kind == 2:  # no trailer
+        return gz[:-8]
+    if kind == 3:
+        return pack(rows, "tar.bz2")[:-5]
+    if kind == 4:  # flagged as encrypted
+        z = bytearray(pack(rows, "zip"))
+        at = z.find(b"PK\x01\x02")
+        z[at + 8] |= 1
+        return bytes(z)
+    if kind == 5:  # entries on both sides of a block of zeros
+        half = len(rows) // 2
+        first = pack(rows[:half], "tar").rstrip(bytes(1))
+        return first + bytes(-len(first) % 512) + bytes(512) + pack(rows[half:], "tar")
+    if kind == 6:
+        return pack([{"path": "pipe", "type": "fifo"}], "tar")
+    if kind == 7:
+        return b"no archive" * 100
+    if kind == 8:  # junk behind the end
+        return tar + b"junk" * 128
+    if kind == 9:  # the last block is cut
+        return body + bytes(100)
+    return gz
+
+
+def pack_damaged(rows: DataFrame, kinds: int) -> DataFrame:
+    """The same with archive n damaged in way n modulo ``kinds``."""
+    return _built(rows, lambda name, given: damage(int(name) % kinds, given))
