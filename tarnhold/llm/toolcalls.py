@@ -9,9 +9,10 @@ Relations:
 * calls: conv_id, turn, idx, call_id, name, arguments (JSON text), after (ids it depends on)
 * results: conv_id, turn, call_id, content
 
-The order of a conversation is (level, turn, idx).  Where every dependency stands earlier, the order of the
-transcript is that order already, and all levels are 0.  Only conversations with a dependency on a later call get
-levels, in rounds: a call's level is one more than the highest of those it depends on.  Calls on a cycle have none.
+The order of a conversation is (level, turn, idx).  A call's level is its depth: 0 without dependencies, else one more
+than the highest level of the calls it depends on, wherever they stand.  Calls on a cycle, or behind one, have none.
+Levels come in rounds that take away what is solved; a run of calls that each wait for one other is shortened by half
+in every step (pointer jumping), so a chain of n calls takes about log n steps.
 
 Nothing is grouped by conversation: every key holds the identifier too, so a conversation with a third of all
 rows is as well spread as any other.
@@ -166,22 +167,48 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
+def _jumped(one: DataFrame) -> DataFrame:
+    """conv, id, dep, least, more: runs of calls that wait for one other, shortened until ``dep`` waits for none or several.
+
+    A call's level is the greater of ``least`` and the level of ``dep`` plus ``more``.  Runs that never end are cycles and
+    are left out.
+    """
+    moving, ended = materialize(one), None
+    for _ in range(moving.count().bit_length() + 1):
+        all_ = moving if ended is None else moving.unionByName(ended)
+        ahead = all_.select("conv", F.col("id").alias("dep"), F.col("dep").alias("n_dep"), F.col("least").alias("n_least"), F.col("more").alias("n_more"))
+        met = materialize(moving.join(ahead, ["conv", "dep"], "left"))
+        here = met.where("n_dep IS NULL").select("conv", "id", "dep", "least", "more")
+        ended = here if ended is None else ended.unionByName(here)
+        moving = met.where("n_dep IS NOT NULL").select("conv", "id", F.col("n_dep").alias("dep"), F.greatest(F.col("least"), F.col("n_least") + F.col("more")).alias("least"), (F.col("more") + F.col("n_more")).alias("more"))
+        if moving.isEmpty():
+            break
+    return moving.limit(0) if ended is None else ended
+
+
 def _levels(edges: DataFrame) -> DataFrame:
-    """conv, id, level of the calls of the conversations in ``edges`` (conv, id, dep; dep null for a call without any)."""
+    """conv, id, level of the calls in ``edges`` (conv, id, dep; dep null for a call without any); null on or behind a cycle."""
     nodes = materialize(edges.select("conv", "id").distinct())
-    edges = materialize(edges.where("dep IS NOT NULL").distinct())
-    done = materialize(nodes.join(edges, ["conv", "id"], "left_anti").withColumn("level", F.lit(0).cast("bigint")))
-    level, left = 0, edges
+    left = materialize(edges.where("dep IS NOT NULL").select("conv", "id", "dep").distinct().withColumn("least", F.lit(0).cast("bigint")))
+    done = materialize(nodes.join(left, ["conv", "id"], "left_anti").withColumn("level", F.lit(0).cast("bigint")))
     while not left.isEmpty():
-        # an edge falls when what it depends on has a level; a call without edges gets its own
-        left_now = materialize(left.join(done.select("conv", F.col("id").alias("dep")), ["conv", "dep"], "left_anti"))
-        freed = left.select("conv", "id").distinct().join(left_now.select("conv", "id").distinct(), ["conv", "id"], "left_anti")
-        level += 1
-        freed = materialize(freed.withColumn("level", F.lit(level).cast("bigint")))
-        if freed.isEmpty():
+        known = done.select("conv", F.col("id").alias("dep"), "level")
+        met = left.join(known, ["conv", "dep"], "left")
+        # of each call: how many it still waits for, one of them, and the level that the solved ones ask for
+        waits = F.count(F.when(F.col("level").isNull(), 1))
+        state = materialize(met.groupBy("conv", "id").agg(waits.alias("waits"), F.min(F.when(F.col("level").isNull(), F.col("dep"))).alias("dep"), F.max(F.greatest(F.col("least"), F.coalesce(F.col("level") + 1, F.lit(0)))).alias("least")))
+        runs = _jumped(state.where("waits = 1").select("conv", "id", "dep", "least", F.lit(1).cast("bigint").alias("more")))
+        solved = state.where("waits = 0").select("conv", "id", F.col("least").alias("level"))
+        ends = materialize(done.select("conv", "id", "level").unionByName(solved))
+        ran = runs.join(ends.select("conv", F.col("id").alias("dep"), "level"), ["conv", "dep"]).select("conv", "id", F.greatest(F.col("least"), F.col("level") + F.col("more")).alias("level"))
+        fresh = materialize(solved.unionByName(ran))
+        if fresh.isEmpty():
             break
-        done, left = done.union(freed), left_now
-    return done
+        done = done.unionByName(fresh)
+        lower = state.select("conv", "id", F.col("least").alias("s_least"))
+        rest = left.join(fresh.select("conv", "id"), ["conv", "id"], "left_anti").join(known.select("conv", "dep"), ["conv", "dep"], "left_anti")
+        left = materialize(rest.join(lower, ["conv", "id"]).select("conv", "id", "dep", F.greatest("least", "s_least").alias("least")))
+    return nodes.join(done, ["conv", "id"], "left")
 
 
 LINKED = ["conv_id", "call_id", "turn", "idx", "level", "name", "status", "valid", "errors", "canonical"]
@@ -197,20 +224,16 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     c = c.withColumn("first", F.coalesce(F.col("head") == F.struct("turn", "idx"), F.lit(False)))
 
     deps = c.select("conv_id", "call_id", "turn", "idx", F.explode("after").alias("dep"), "first")
-    deps = deps.join(heads.select(F.col("h_conv").alias("d_conv"), F.col("h_id").alias("d_id"), F.col("head").alias("d_head")), _same("conv_id", "d_conv") & (F.col("dep") == F.col("d_id")), "left")
-    deps = materialize(deps.select("conv_id", "call_id", "turn", "idx", "dep", "first", F.col("d_id").isNotNull().alias("there"), F.coalesce(F.col("d_head") >= F.struct("turn", "idx"), F.lit(False)).alias("later")))
+    deps = deps.join(heads.select(F.col("h_conv").alias("d_conv"), F.col("h_id").alias("d_id")), _same("conv_id", "d_conv") & (F.col("dep") == F.col("d_id")), "left")
+    deps = materialize(deps.select("conv_id", "call_id", "turn", "idx", "dep", "first", F.col("d_id").isNotNull().alias("there")))
     missing = deps.where("NOT there").groupBy(F.col("conv_id").alias("m_conv"), F.col("call_id").alias("m_id"), F.col("turn").alias("m_turn"), F.col("idx").alias("m_idx")).agg(F.array_sort(F.collect_set(F.concat(F.col("dep"), F.lit(": no such call")))).alias("missing"))
     c = c.join(missing, _same("conv_id", "m_conv") & _same("call_id", "m_id") & _same("turn", "m_turn") & _same("idx", "m_idx"), "left")
-    odd = deps.where("later AND first").select(F.col("conv_id").alias("o_conv")).distinct()
-    if odd.isEmpty():
-        c = c.withColumn("level", F.lit(0).cast("bigint"))
-    else:
-        edges = heads.join(odd, _same("h_conv", "o_conv"), "left_semi").select(F.to_json(F.struct(F.col("h_conv").alias("v"))).alias("conv"), F.col("h_id").alias("id"), F.lit(None).cast("string").alias("dep"))
-        tied = deps.where("first AND there").join(odd, _same("conv_id", "o_conv"), "left_semi").select(F.to_json(F.struct(F.col("conv_id").alias("v"))).alias("conv"), F.col("call_id").alias("id"), "dep")
-        levels = _levels(edges.union(tied)).select(F.col("conv").alias("l_conv"), F.col("id").alias("l_id"), F.col("level").alias("found"))
-        c = c.join(odd, _same("conv_id", "o_conv"), "left_semi").join(levels, (F.to_json(F.struct(F.col("conv_id").alias("v"))) == F.col("l_conv")) & (F.col("call_id") == F.col("l_id")), "left").withColumn("level", F.col("found")).drop("l_conv", "l_id", "found").unionByName(
-            c.join(odd, _same("conv_id", "o_conv"), "left_anti").withColumn("level", F.lit(0).cast("bigint"))
-        )
+    conv = lambda of: F.to_json(F.struct(F.col(of).alias("v")))  # noqa: E731  null conversations too have a key
+    tied = deps.where("first AND there").select(conv("conv_id").alias("conv"), F.col("call_id").alias("id"), "dep")
+    needed = tied.select("conv", F.col("dep").alias("id")).distinct().withColumn("dep", F.lit(None).cast("string"))
+    levels = _levels(tied.unionByName(needed)).select(F.col("conv").alias("l_conv"), F.col("id").alias("l_id"), F.col("level").alias("found"), F.lit(True).alias("l_there"))
+    c = c.join(levels, (conv("conv_id") == F.col("l_conv")) & (F.col("call_id") == F.col("l_id")), "left")
+    c = c.withColumn("level", F.when(F.col("l_there"), F.col("found")).otherwise(F.lit(0).cast("bigint"))).drop("l_conv", "l_id", "found", "l_there")
 
     c = c.join(answers, F.col("first") & _same("conv_id", "r_conv") & (F.col("call_id") == F.col("r_id")), "left")
     c = c.withColumn("v", F.try_parse_json("arguments"))
@@ -229,7 +252,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     return out.unionByName(orphans.select(F.col("r_conv").alias("conv_id"), F.col("r_id").alias("call_id"), F.col("answer.turn").alias("turn"), null("bigint").alias("idx"), null("bigint").alias("level"), null("string").alias("name"), F.lit("orphan_result").alias("status"), F.lit(False).alias("valid"), F.lit("no such call").alias("errors"), lone.alias("canonical")))
 
 
-_ASK = {"type": "object", "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "words": {"type": "integer", "minimum": 1}}, "required": ["prompt", "turn", "words"], "additionalProperties": False}
+#: A prompt has words and fits a turn's budget of characters.
+_ASK = {"type": "object", "properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 1024}, "turn": {"type": "integer", "minimum": 0}, "words": {"type": "integer", "minimum": 4}}, "required": ["prompt", "turn", "words"], "additionalProperties": False}
 #: What dialogue turns must look like as calls.
 DIALOGUE = {"reply": _ASK, "configure": {**_ASK, "properties": {**_ASK["properties"], "turn": {"type": "integer", "maximum": 0}}}}
 
