@@ -5,10 +5,12 @@ Positions come from two built-in functions over the same pattern: ``split`` give
 between the matches, ``regexp_extract_all`` the matches, and running sums of both lengths the
 spans, in code points.
 
-Added spans (kind ``random``) are runs of 20 or more characters of a key alphabet, with a letter
-and a digit, outside base spans, that pass a battery of tests:
+A battery of tests judges the value of every base span, and every run: 20 or more characters of a key
+alphabet, with a letter and a digit, outside base spans.  Runs that pass are added spans (kind ``random``); base
+spans stay whatever their values pass, and the digest says how many of a text's were judged, how many pass and
+the least p-value.  The battery:
 
-* the narrowest of six encodings that holds the run gives the alphabet of size k;
+* the narrowest of nine encodings that holds the value gives the alphabet of size k;
 * chi-squared uniformity of its characters, a runs test about the middle of the alphabet and the
   serial correlation of neighbours: the sum of the three squared deviates (chi-squared, 3 degrees)
   must not speak against a random run (below its 99.9 % point);
@@ -16,10 +18,10 @@ and a digit, outside base spans, that pass a battery of tests:
   stay in a class (digits, upper case, lower case, marks) or change it at the rates ``CHANGES`` and whose
   letters have the frequencies of English, evened out by ``EVEN``.  The likelihood of the run under that
   model over the one under equal chances, 1 / k a character, is a p-value that is never too small
-  (Markov's inequality), whatever k is.  It goes through Benjamini-Hochberg control over all runs of the
-  corpus, per encoding and power of two of the length.  P-values are counted in classes of whole powers
-  of two, so the procedure moves a table of bounded size (encodings x lengths x 65 classes), never the
-  runs.
+  (Markov's inequality), whatever k is.  It goes through Benjamini-Hochberg control over all values of the
+  corpus, per kind, encoding and power of two of the length.  P-values are counted in classes of whole powers
+  of two, so the procedure moves a table of bounded size (kinds x encodings x lengths x 65 classes), never
+  the values.
 
 Null and empty texts have no spans; repeated rows give repeated rows; an empty table gives an
 empty one.  A row is known by its id and the hash of its text, so rows that share an id do not mix.
@@ -45,12 +47,14 @@ DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijkl
 #: Encoding: pattern and alphabet, the narrowest first.
 ENCODINGS = {
     "hex": (r"\A[0-9A-F]+\z", DIGITS + "ABCDEF"),
+    "hex_lower": (r"\A[0-9a-f]+\z", DIGITS + "abcdef"),
     "base32": (r"\A[A-Z2-7]+\z", UPPER + "234567"),
     "base36": (r"\A[0-9a-z]+\z", DIGITS + LOWER),
     "base36_upper": (r"\A[0-9A-Z]+\z", DIGITS + UPPER),
     "base62": (r"\A[0-9A-Za-z]+\z", DIGITS + UPPER + LOWER),
     "base64": (r"\A[0-9A-Za-z+/]+\z", UPPER + LOWER + DIGITS + "+/"),
     "base64url": (r"\A[0-9A-Za-z_-]+\z", UPPER + LOWER + DIGITS + "-_"),
+    "mixed": (r"\A[0-9A-Za-z+/_.=-]+\z", UPPER + LOWER + DIGITS + "+/-_.="),
 }
 RATE, RANDOM_LIMIT = 0.01, 16.27
 #: English letters by frequency, in percent.
@@ -65,7 +69,7 @@ CHANGES = {
     "l": {"d": 0.15, "u": 0.06, "l": 0.72, "o": 0.07},
     "o": {"d": 0.22, "u": 0.18, "l": 0.50, "o": 0.10},
 }
-_MARKS = "+/-_"
+_MARKS = "+/-_.="
 _CLASSES = "d" * len(DIGITS) + "u" * len(UPPER) + "l" * len(LOWER) + "o" * len(_MARKS)
 _CLASS_OF = dict(zip(DIGITS + UPPER + LOWER + _MARKS, _CLASSES))
 _BLOCK = 128
@@ -135,13 +139,43 @@ def shown(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def runs(docs: DataFrame) -> DataFrame:
-    """The runs of key alphabets outside base spans: doc_id, key (hash of the text), s, e, body."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).where(F.col("text").rlike(RUN))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("key"), "text", all_base(F.col("text")).alias("found"), F.explode(spans(F.col("text"), RUN, 3)).alias("x"))
-    rows = rows.where(~F.exists("found", lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s"))))
-    body = F.rtrim(F.substring(F.col("text"), (F.col("x.s") + 1).cast("int"), (F.col("x.e") - F.col("x.s")).cast("int")), F.lit("="))
-    return rows.select("doc_id", "key", "x.s", "x.e", body.alias("body"))
+_TESTED = "array<struct<s:bigint,k:int,e:bigint,body:string>>"
+
+
+def _values(text: Column, found: dict[str, Column]) -> Column:
+    """The values of base spans: what is assigned, or the whole match."""
+    none = F.array().cast(_TESTED)
+
+    def of(kind: str, pattern: str, group: int, least: int) -> Column:
+        values = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda v: F.length(v) >= least)
+        made = F.zip_with(found[kind], values, lambda x, v: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), v.alias("body")))
+        return F.when(F.size(found[kind]) > 0, made.cast(_TESTED)).otherwise(none)
+
+    return F.concat(of("assign", ASSIGN, 2, 12), of("access", ACCESS, 0, 1), of("hex", HEX, 0, 1))
+
+
+def _runs(text: Column, found: Column) -> Column:
+    """The runs of key alphabets outside base spans."""
+    free = F.filter(spans(text, RUN, 3), lambda x: ~F.exists(found, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+    body = lambda x: F.rtrim(F.substring(text, (x["s"] + 1).cast("int"), (x["e"] - x["s"]).cast("int")), F.lit("="))
+    made = F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), body(x).alias("body")))
+    return F.when(text.rlike(RUN), made.cast(_TESTED)).otherwise(F.array().cast(_TESTED))
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, key (hash of the text), base spans by kind, ``found`` (all of them) and ``tested`` (values of base spans, and runs) of every row, in one pass over the texts."""
+    text = F.col("text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("key"), "text", *[v.alias(k) for k, v in base(text).items()])
+    rows = rows.withColumn("found", F.array_sort(F.concat("assign", "access", "hex")))
+    tested = F.concat(_values(text, {k: F.col(k) for k in KINDS[:3]}), _runs(text, F.col("found")))
+    return rows.select("doc_id", "key", *KINDS[:3], "found", tested.alias("tested"))
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """doc_id, key, s, kind, e, body of each value to be tested; repeated rows count once."""
+    x = rows.where(F.size("tested") > 0).select("doc_id", "key", F.explode("tested").alias("x"))
+    return x.select("doc_id", "key", "x.s", F.col("x.k").alias("kind"), "x.e", "x.body").distinct()
 
 
 def ordinary(alphabet: str) -> tuple[list[float], dict[str, float], float]:
@@ -154,11 +188,11 @@ def ordinary(alphabet: str) -> tuple[list[float], dict[str, float], float]:
     return [math.log2(share(x, members[_CLASS_OF[x]])) for x in alphabet], pairs, -math.log2(len(classes))
 
 
-def battery(candidates: DataFrame) -> DataFrame:
-    """The tests of each run: adds encoding, k, n, chi, bits (against ordinary text), z_chi, z_runs, z_serial and random (the verdict of their sum)."""
+def battery(given: DataFrame) -> DataFrame:
+    """The tests of each value (``body``): adds encoding, k, n, chi, bits (against ordinary text), z_chi, z_runs, z_serial and random (the verdict of their sum)."""
     encoding = F.coalesce(*[F.when(F.col("body").rlike(p), F.lit(e)) for e, (p, _) in ENCODINGS.items()])
     alphabet = F.coalesce(*[F.when(F.col("encoding") == e, F.lit(a)) for e, (_, a) in ENCODINGS.items()])
-    c = candidates.withColumn("encoding", encoding).where(F.col("encoding").isNotNull()).withColumn("alphabet", alphabet)
+    c = given.withColumn("encoding", encoding).where(F.col("encoding").isNotNull()).withColumn("alphabet", alphabet)
     letters = F.filter(F.split("alphabet", ""), lambda x: x != "")
     times = lambda x: (F.length("body") - F.length(F.replace(F.col("body"), x, F.lit("")))).cast("double")
     models = {e: ordinary(a) for e, (_, a) in ENCODINGS.items()}
@@ -190,55 +224,60 @@ def battery(candidates: DataFrame) -> DataFrame:
 
 
 def discoveries(tested: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of ``battery`` that are random and survive the false-discovery control."""
-    level = F.floor(F.least(F.greatest(F.col("bits"), F.lit(0.0)), F.lit(64.0))).cast("int")  # p <= 2 ** -bits
-    t = tested.withColumns({"stratum": F.floor(F.log2("n")).cast("int"), "level": level})
-    counts = t.groupBy("encoding", "stratum", "level").count()
+    """The rows of ``battery`` with ``found``: random, and passed by the false-discovery control of their kind."""
     from pyspark.sql import Window
 
-    whole = Window.partitionBy("encoding", "stratum")
+    level = F.floor(F.least(F.greatest(F.col("bits"), F.lit(0.0)), F.lit(64.0))).cast("int")  # p <= 2 ** -bits
+    t = tested.withColumns({"stratum": F.floor(F.log2("n")).cast("int"), "level": level})
+    family = ["kind", "encoding", "stratum"]
+    counts = t.groupBy(*family, "level").count()
+    whole = Window.partitionBy(*family)
     up = whole.orderBy(F.col("level").desc())
     counts = counts.withColumns({"all": F.sum("count").over(whole), "above": F.sum("count").over(up)})
-    limits = counts.where(F.pow(F.lit(2.0), -F.col("level")) <= F.col("above") * rate / F.col("all")).groupBy("encoding", "stratum").agg(F.min("level").alias("least"))
-    # at most one row per encoding and power of two
-    return t.join(F.broadcast(limits), ["encoding", "stratum"]).where(F.col("random") & (F.col("level") >= F.col("least")))
-
-
-def added(docs: DataFrame) -> DataFrame:
-    """doc_id, key, more: the added spans of each text that has some."""
-    tested = materialize(battery(runs(docs)).drop("body"))
-    span = F.struct(F.col("s"), F.lit(3).alias("k"), F.col("e")).cast(SPAN)
-    return discoveries(tested).groupBy(F.col("doc_id").alias("a_id"), F.col("key").alias("a_key")).agg(F.collect_set(span).alias("more"))
-
-
-def _with_spans(docs: DataFrame, rows: DataFrame, id_col: str, key_col: str) -> DataFrame:
-    more = added(docs)
-    joined = rows.join(more, F.col(id_col).eqNullSafe(F.col("a_id")) & (F.col(key_col) == F.col("a_key")), "left")
-    return joined.withColumn("more", F.coalesce("more", F.array().cast(f"array<{SPAN}>"))).drop("a_id", "a_key")
+    limits = counts.where(F.pow(F.lit(2.0), -F.col("level")) <= F.col("above") * rate / F.col("all")).groupBy(*family).agg(F.min("level").alias("least"))
+    # at most one row per kind, encoding and power of two
+    joined = t.join(F.broadcast(limits), family, "left")
+    return joined.withColumn("found", F.col("random") & F.coalesce(F.col("level") >= F.col("least"), F.lit(False)))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """__th_id, __th_at (hash of the text), __th_more (added spans), n_judged, n_base_random and base_p of each text with a value to test."""
+    tested = materialize(battery(candidates(rows)).drop("body"))
+    span = F.struct(F.col("s"), F.col("kind").alias("k"), F.col("e")).cast(SPAN)
+    run = F.col("kind") == 3
+    return discoveries(tested).groupBy(F.col("doc_id").alias("__th_id"), F.col("key").alias("__th_at")).agg(
+        F.collect_set(F.when(run & F.col("found"), span)).alias("__th_more"),
+        F.count(F.when(~run, 1)).alias("n_judged"),
+        F.count(F.when(~run & F.col("found"), 1)).alias("n_base_random"),
+        F.min(F.when(~run, F.pow(F.lit(2.0), -F.greatest(F.col("bits"), F.lit(0.0))))).alias("base_p"),
+    )
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_random of every row."""
-    text = F.col("text")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("key"), *[v.alias(k) for k, v in base(text).items()])
-    rows = _with_spans(docs, rows, "doc_id", "key")
-    found = F.array_sort(F.concat("assign", "access", "hex"))
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random, and of the base spans n_judged, n_base_random and base_p (null without any) of every row."""
+    rows = materialize(scanned(docs))
+    said = judged(rows)
+    rows = rows.drop("tested").join(said, F.col("doc_id").eqNullSafe(F.col("__th_id")) & (F.col("key") == F.col("__th_at")), "left")
+    more = F.coalesce("__th_more", F.array().cast(f"array<{SPAN}>"))
     return rows.select(
         "doc_id",
         *[F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS[:3]],
-        F.sha2(shown(found), 256).alias("base_sha256"),
-        shown(F.array_sort(F.concat(found, "more"))).alias("spans"),
-        F.size("more").cast("bigint").alias("n_random"),
+        F.sha2(shown(F.col("found")), 256).alias("base_sha256"),
+        shown(F.array_sort(F.concat("found", more))).alias("spans"),
+        F.size(more).cast("bigint").alias("n_random"),
+        F.coalesce("n_judged", F.lit(0)).alias("n_judged"),
+        F.coalesce("n_base_random", F.lit(0)).alias("n_base_random"),
+        "base_p",
     )
 
 
 def redacted(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """``docs``, all rows and columns, with every span replaced by ``mark``; n_chars, if there, follows."""
     names = docs.columns
-    rows = docs.withColumns({"__th_id": F.col("doc_id").cast("bigint"), "__th_key": F.xxhash64(text_of())})
-    rows = _with_spans(docs, rows, "__th_id", "__th_key")
-    marked = F.array_sort(F.concat(all_base(text_of()), "more"))
+    said = judged(scanned(docs)).where(F.size("__th_more") > 0).select("__th_id", "__th_at", "__th_more")
+    here = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__th_id")) & (F.xxhash64(text_of()) == F.col("__th_at"))
+    rows = docs.join(said, here, "left")
+    marked = F.array_sort(F.concat(all_base(text_of()), F.coalesce("__th_more", F.array().cast(f"array<{SPAN}>"))))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, x: Column) -> Column:
