@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_chunk, remainder
+from .common import by_chunk, remainder, text_of
 
 THRESHOLD = 0.7
 _CLASS = np.full(256, 9, np.uint8)  # 9: other bytes, as of letters beyond ASCII
@@ -194,25 +194,32 @@ def fit(features: np.ndarray, size: np.ndarray, counts: np.ndarray, labels: np.n
 def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, lines: int = 400_000, seed: int = 11) -> Model:
     """Fit on a bounded sample: of ``labels`` (doc_id, quality) the ``sample`` rows with the smallest seeded hash.
 
-    Features are made on the executors; the driver gets those of ``lines`` lines at most (whole
-    texts in the same order; 19 numbers of 4 bytes each), so its memory has a bound.
+    Features are made on the executors; the driver gets those of ``lines`` lines at most (19 numbers of 4 bytes each), so its
+    memory has a bound.  In the order of that hash, a text whose lines do not fit in what is left is passed over, and the
+    next ones still count.  Rows that share an id are different texts; repeated rows count once.
     """
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("quality"), order.alias("h")).orderBy("h", "quality").limit(sample)
     # at most ``sample`` rows of 20 bytes
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
+    rows = rows.select("h", F.xxhash64("text").alias("t"), "quality", "text")
+    counted = rows.select("h", "t", "quality", (F.regexp_count("text", F.lit("\n")) + 1).alias("n")).distinct().orderBy("h", "t", "quality").limit(sample).collect()
+    taken, left = [], lines
+    for r in counted:
+        if r.n <= left:
+            taken.append((r.h, r.t, r.quality))
+            left -= r.n
 
     def run(piece: pa.RecordBatch) -> dict:
-        out = [line_features([t or ""]) for t in piece.column(2).to_pylist()]
-        return {"h": piece.column(0), "quality": piece.column(1), "n": [len(s) for _, s, _ in out], "f": [f.astype(np.float32).tobytes() for f, _, _ in out], "s": [s.astype(np.float32).tobytes() for _, s, _ in out]}
+        out = [line_features([t]) for t in piece.column(3).to_pylist()]
+        return {"h": piece.column(0), "t": piece.column(1), "quality": piece.column(2), "n": [len(s) for _, s, _ in out], "f": [f.astype(np.float32).tobytes() for f, _, _ in out], "s": [s.astype(np.float32).tobytes() for _, s, _ in out]}
 
-    from pyspark.sql import Window
-
-    made = by_chunk(rows.select("h", "quality", "text"), run, "h bigint, quality int, n int, f binary, s binary")
-    made = made.withColumn("upto", F.sum("n").over(Window.orderBy("h", "quality"))).where(F.col("upto") <= lines)
-    got = made.orderBy("h", "quality", "n").collect()
-    if not got:
+    if not taken:
         return fit(np.zeros((0, OWN)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
+    keep = F.broadcast(docs.sparkSession.createDataFrame(taken, "h bigint, t bigint, quality int"))
+    once = rows.join(keep, ["h", "t", "quality"]).groupBy("h", "t", "quality").agg(F.first("text").alias("text"))
+    made = by_chunk(once, run, "h bigint, t bigint, quality int, n int, f binary, s binary")
+    got = sorted(made.collect(), key=lambda r: (r.h, r.t, r.quality))
     features = np.concatenate([np.frombuffer(r.f, np.float32).reshape(-1, OWN) for r in got]).astype(np.float64)
     size = np.concatenate([np.frombuffer(r.s, np.float32) for r in got]).astype(np.float64)
     return fit(features, size, np.array([r.n for r in got], np.int64), np.array([r.quality for r in got], np.float64))
