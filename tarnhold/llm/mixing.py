@@ -3,10 +3,10 @@
 1. A document's size is its number of words.  Sources in code point order, null last, weigh
    1, 2, 3, repeating; a source's target is its share of all words, held at ``copies`` times
    its size, the excess reshared by weight (water filling).
-2. The mix has as many equal blocks of ``block`` words as all words fill.  Sources get blocks
-   by the highest quotients target / (2k + 1); each source's blocks go to its shards (hash
-   buckets of its documents) by the highest quotients of the shards' sizes, so quotas are
-   whole numbers that add up exactly at both levels.
+2. The mix has as many equal blocks of ``block`` words as all words fill (one at least).  Sources get
+   blocks by the highest quotients target / (2k + 1); a source's blocks go to its districts and from
+   there to their shards (hash buckets of its documents) by the highest quotients of their sizes, so
+   quotas are whole numbers that add up exactly at every level.
 3. In a shard the documents lie end to end in seeded order.  Its quota is as many whole passes
    as fit, then a run of blocks from a seeded first block on, around the end.  A document
    takes ``passes * size`` plus its overlap with that run: at most ``copies * size``.
@@ -15,8 +15,11 @@ Quotients are ranked only where they can matter: with n claimants the last seat'
 lies between two that are known beforehand, and at most about 2n quotients lie between those
 two, so nothing grows with the number of blocks.
 
-No window or join has a source as its key but over sums per shard: a source that holds a
-third of all rows is as many shards as its rows need.
+No window or join has a source as its key but over sums per district, of ``FAN`` shards each: a source
+that holds a third of all rows is as many shards as its rows need.  Rows with equal id, source and text
+are one document with a number of copies; copies lie in stretches of ``STRETCH``, each with a place of its
+own, so neither a repeated row nor a null id fills one shard.  Places and first blocks come from MD5, which
+SQL has too.
 
 Null texts have size 0, rows with null source are one source.  Repeated rows count as often
 as they occur.  Empty tables give empty ones; if all sizes are 0 every target is 0.
@@ -27,23 +30,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, text_of
 
-SEED, BLOCK, COPIES, DOCS_PER_SHARD = 42, 8, 3, 1024
+SEED, BLOCK, COPIES, DOCS_PER_SHARD, FAN, STRETCH = 42, 8, 3, 1024, 1024, 256
 
 
 def _size() -> Column:
     return F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def _place(name: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(name).cast("string"), F.lit(""))))
+def number(text: Column) -> Column:
+    """The first 60 bits of the MD5 of a text."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
+def _seeded(*parts: Column) -> Column:
+    return number(F.concat_ws(":", F.lit(str(SEED)), *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and the seeded place of each row."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").alias("source"), _size().alias("size"))
-    return rows.withColumn("place", _place("doc_id"))
+    """doc_id, source, size and key (of the text) of each row."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"), number(text_of()).alias("key"))
+
+
+def stretches(sized: DataFrame) -> DataFrame:
+    """doc_id, source, size, key, times, copies, place: a document's copies, ``STRETCH`` at a time."""
+    same = sized.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("times"))
+    each = same.withColumn("first", F.explode(F.expr(f"sequence(0L, times - 1, {STRETCH}L)")))
+    return each.withColumns({"copies": F.least(F.lit(STRETCH), F.col("times") - F.col("first")), "place": _seeded(F.col("doc_id"), F.col("key"), F.col("first"))})
 
 
 def targets(sources: DataFrame, copies: int = COPIES) -> DataFrame:
@@ -82,74 +96,91 @@ def apportion(claims: DataFrame, group: list[str], key: list[Column], claim: str
     return c.groupBy(*keep, "__low").agg(F.sum("__won").alias("__more")).select(*keep, (F.col("__low") + F.col("__more")).alias(out))
 
 
-def _cells(sized: DataFrame, shard: Column, block: int, copies: int) -> DataFrame:
-    """c_source, c_shard: sizes, target, whole passes, length and start of the run of blocks of each shard."""
-    cells = sized.withColumn("shard", shard).groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
-    sums = cells.groupBy("source").agg(F.sum("shard_size").alias("source_size"))
-    blocks = F.floor(F.sum("source_size").over(Window.partitionBy()) / F.lit(block)).cast("bigint")
+def _cells(rows: DataFrame, block: int, copies: int) -> DataFrame:
+    """c_name, c_shard: sizes, target, whole passes, length and start of the run of blocks of each shard.
+
+    ``rows`` has source, name (of the source, never null), shard and words.
+    """
+    cells = rows.groupBy("source", "name", "shard").agg(F.sum("words").alias("shard_size"))
+    cells = cells.withColumn("district", F.floor(F.col("shard") / FAN))
+    districts = cells.groupBy("source", "name", "district").agg(F.sum("shard_size").alias("district_size"))
+    sums = districts.groupBy("source").agg(F.sum("district_size").alias("source_size"))
+    all_ = F.sum("source_size").over(Window.partitionBy())
+    blocks = F.greatest(F.floor(all_ / F.lit(block)), F.signum(all_)).cast("bigint")
     quotas = apportion(targets(sums, copies).withColumn("blocks", blocks), [], [F.col("source").asc_nulls_last()], "target", "blocks", "seats")
     quotas = quotas.select(F.col("source").alias("q_source"), "source_size", "target", "seats")
-    cells = cells.join(quotas, F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source")
-    cells = apportion(cells, ["source"], [F.col("shard")], "shard_size", "seats", "quota")
+    districts = districts.join(quotas, F.col("source").eqNullSafe(F.col("q_source"))).select("name", "district", "district_size", "source_size", "target", "seats")
+    districts = apportion(districts, ["name"], [F.col("district")], "district_size", "seats", "district_seats").select("name", "district", "source_size", "target", "district_seats")
+    cells = cells.join(districts, ["name", "district"])
+    cells = apportion(cells, ["name", "district"], [F.col("shard")], "shard_size", "district_seats", "quota")
     wanted = F.least(F.col("quota") * block, F.col("shard_size") * copies)
     held = F.greatest(F.col("shard_size"), F.lit(1))  # a shard without words gets nothing
-    seeded = F.pmod(F.xxhash64(F.lit(SEED), F.col("source"), F.col("shard")), F.ceil(held / F.lit(block)))
+    first = F.pmod(_seeded(F.col("name"), F.col("shard")), F.ceil(held / F.lit(block)))
     return cells.select(
-        F.col("source").alias("c_source"), F.col("shard").alias("c_shard"), F.col("source_size").alias("c_source_size"), F.col("target").alias("c_target"), F.col("shard_size").alias("c_size"),
+        F.col("name").alias("c_name"), F.col("shard").alias("c_shard"), F.col("source_size").alias("c_source_size"), F.col("target").alias("c_target"), F.col("shard_size").alias("c_size"),
         F.floor(wanted / held).cast("bigint").alias("c_passes"),
         (wanted % held).alias("c_run"),
-        (seeded * block).alias("c_first"),
+        (first * block).alias("c_first"),
     )
 
 
-def _placed(rows: DataFrame, cells: DataFrame, shard: Column, names: dict[str, str]) -> DataFrame:
-    """``rows`` with their shard's cell and ``c_parts``: from and to, in words of the row, of its two overlaps with the run."""
-    own, size = F.col(names["source"]), F.col(names["size"])
-    rows = rows.withColumn("c_own", shard)
-    line = Window.partitionBy(own, "c_own").orderBy(*[F.col(names[k]) for k in ("place", "doc_id", "size")]).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("c_start", F.sum(size).over(line) - size)
-    rows = rows.join(cells, own.eqNullSafe(F.col("c_source")) & (F.col("c_own") == F.col("c_shard")))
+def _placed(sized: DataFrame, block: int, copies: int, docs_per_shard: int) -> DataFrame:
+    """The stretches with their shard's cell and ``c_start``, the words before them in it."""
+    shards = max(1, -(-sized.count() // docs_per_shard))
+    name = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
+    rows = stretches(sized).withColumns({"name": name, "shard": F.col("place") % shards, "words": F.col("size") * F.col("copies")})
+    cells = _cells(rows, block, copies)
+    line = Window.partitionBy("name", "shard").orderBy("place", "doc_id", "key", "first").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("c_start", F.sum("words").over(line) - F.col("words"))
+    return rows.join(cells, (F.col("name") == F.col("c_name")) & (F.col("shard") == F.col("c_shard")))
 
-    def part(first: Column) -> Column:
-        low = F.greatest(F.col("c_start"), first, F.lit(0))
-        high = F.least(F.col("c_start") + size, first + F.col("c_run"), F.col("c_size"))
-        return F.struct((low - F.col("c_start")).alias("low"), (F.greatest(low, high) - F.col("c_start")).alias("high"))
 
-    return rows.withColumn("c_parts", F.array(part(F.col("c_first")), part(F.col("c_first") - F.col("c_size"))))
+def _parts(start: Column) -> Column:
+    """From and to, in words of a copy that starts at ``start``, of its two overlaps with the run."""
 
+    def part(first: Column) -> Column:
+        low = F.greatest(start, first, F.lit(0))
+        high = F.least(start + F.col("size"), first + F.col("c_run"), F.col("c_size"))
+        return F.struct((low - start).alias("low"), (F.greatest(low, high) - start).alias("high"))
 
-def _shard(place: str, n: int) -> Column:
-    return F.conv(F.substring(F.col(place), 1, 12), 16, 10).cast("bigint") % n
+    return F.array(part(F.col("c_first")), part(F.col("c_first") - F.col("c_size")))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, copies: int = COPIES, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
     """doc_id, size, source_size, target (its source's), taken (words, repeats counted)."""
-    sized = materialize(sizes(docs))
-    shard = _shard("place", max(1, -(-sized.count() // docs_per_shard)))
-    rows = _placed(sized, _cells(sized, shard, block, copies), shard, {k: k for k in sized.columns})
-    parts = [F.col("c_parts")[i]["high"] - F.col("c_parts")[i]["low"] for i in (0, 1)]
-    taken = F.col("c_passes") * F.col("size") + parts[0] + parts[1]
+    rows = _placed(materialize(sizes(docs)), block, copies, docs_per_shard)
+    rows = rows.withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
+    rows = rows.withColumn("parts", _parts(F.col("c_start") + F.col("copy") * F.col("size")))
+    taken = F.col("c_passes") * F.col("size") + F.aggregate("parts", F.lit(0).cast("bigint"), lambda t, p: t + p["high"] - p["low"])
     return rows.select("doc_id", "size", F.col("c_source_size").alias("source_size"), F.col("c_target").alias("target"), taken.cast("bigint").alias("taken"))
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, copies: int = COPIES, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each whole pass of a document and one for each part that
-    the run of blocks covers, with those words as its text (n_chars, if there, follows).  Texts are shuffled once."""
+    the run of blocks covers, with those words as its text (n_chars, if there, follows).
+
+    Texts are shuffled once, to meet their parts.  Of rows with equal id, source and text that differ elsewhere, all mixed rows
+    carry the other columns of one.
+    """
     names = docs.columns
-    sized = materialize(sizes(docs))
-    shards = max(1, -(-sized.count() // docs_per_shard))
-    own = {k: f"__th_{k}" for k in ("doc_id", "source", "size", "place")}
-    rows = docs.withColumns({own["doc_id"]: F.col("doc_id").cast("bigint"), own["source"]: F.col("source"), own["size"]: _size()})
-    rows = rows.withColumn(own["place"], _place(own["doc_id"]))
-    rows = _placed(rows, _cells(sized, _shard("place", shards), block, copies), _shard(own["place"], shards), own)
-    size = F.col(own["size"])
-    whole = F.when(F.col("c_passes") > 0, F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("low"), size.alias("high")), F.col("c_passes").cast("int")))
-    parts = F.concat(F.coalesce(whole, F.array().cast("array<struct<low:bigint,high:bigint>>")), F.filter("c_parts", lambda x: x["high"] > x["low"]))
-    rows = rows.where(size > 0).withColumn("__th_part", F.explode(parts))
-    low, high = F.col("__th_part.low"), F.col("__th_part.high")
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    text = F.when((low == 0) & (high == size), F.col("text")).otherwise(F.array_join(F.slice(words, (low + 1).cast("int"), (high - low).cast("int")), ""))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*names)
+    rows = _placed(materialize(sizes(docs)), block, copies, docs_per_shard)
+    own = lambda j: F.filter(_parts(F.col("c_start") + j * F.col("size")), lambda x: x["high"] > x["low"])
+    cut = F.flatten(F.transform(F.expr("sequence(0L, copies - 1)"), own))
+    whole = F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("low"), F.col("size").alias("high")), (F.col("c_passes") * F.col("copies")).cast("int"))
+    taken = rows.where("size > 0").select(F.col("doc_id").alias("__th_id"), F.col("source").alias("__th_source"), F.col("key").alias("__th_key"), F.col("size").alias("__th_size"), "times", F.concat(whole, cut).alias("__th_parts"))
+    taken = materialize(taken.where(F.size("__th_parts") > 0))
+
+    def of(part: DataFrame, rows: DataFrame) -> DataFrame:
+        here = (number(text_of()) == F.col("__th_key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__th_id")) & F.col("source").cast("string").eqNullSafe(F.col("__th_source"))
+        rows = rows.join(part.drop("times"), here).withColumn("__th_part", F.explode("__th_parts"))
+        low, high = F.col("__th_part.low"), F.col("__th_part.high")
+        words = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+        text = F.when((low == 0) & (high == F.col("__th_size")), F.col("text")).otherwise(F.array_join(F.slice(words, (low + 1).cast("int"), (high - low).cast("int")), ""))
+        rows = rows.withColumn("text", text)
+        if "n_chars" in names:
+            rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        return rows.select(*names)
+
+    out = of(taken.where("times = 1"), docs)
+    again = taken.where("times > 1")
+    return out if again.isEmpty() else out.unionByName(of(again, docs.dropDuplicates(["doc_id", "source", "text"])))
