@@ -1,8 +1,10 @@
 """Token-ID output: best-fit-decreasing packing with a segment tree over capacities.
 
-Documents are dealt by a hash of id and text into shards of about ``DOCS_PER_SHARD`` rows.  A
-shard is tokenized and packed on its own, so memory is bounded by a shard's tokens and a lost
-executor repeats a shard; the text is shuffled once and token ids never are.
+Documents are packed where they lie: a task takes those of its partition in stretches of
+``DOCS_PER_SHARD`` documents or ``TOKENS_PER_SHARD`` tokens, whatever comes first.  Nothing is
+shuffled and no key decides where a row goes, so no document or id, however often it is repeated,
+makes a task larger; memory is bounded by a stretch and one text, and a lost executor repeats a
+partition, whose rows come out together or not at all.
 
 A document longer than ``LENGTH`` tokens is split into full rows and a rest, so nothing is lost.
 Pieces go in descending order of size into the fullest row that still holds them: a segment tree
@@ -18,16 +20,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import deque
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import chunks, text_of
 
-LENGTH, DOCS_PER_SHARD, PAD = 2048, 512, 50256
+LENGTH, DOCS_PER_SHARD, TOKENS_PER_SHARD, PAD = 2048, 512, 1 << 20, 50256
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -53,10 +58,10 @@ class CapacityTree:
     def __init__(self, length: int) -> None:
         self.leaves = 1 << max(1, length.bit_length())
         self.counts = [0] * (2 * self.leaves)
-        self.rows: dict[int, list[int]] = {}
+        self.rows: dict[int, deque[int]] = {}
 
     def add(self, capacity: int, row: int) -> None:
-        self.rows.setdefault(capacity, []).append(row)
+        self.rows.setdefault(capacity, deque()).append(row)
         self._change(capacity, 1)
 
     def _change(self, capacity: int, by: int) -> None:
@@ -80,7 +85,7 @@ class CapacityTree:
                     i = 2 * i + (not self.counts[2 * i])
         capacity = i - self.leaves
         self._change(capacity, -1)
-        return capacity, self.rows[capacity].pop(0)
+        return capacity, self.rows[capacity].popleft()
 
 
 def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
@@ -98,51 +103,57 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
     return rows
 
 
-ROWS = "shard bigint, pack bigint, n_tokens bigint, doc_ids array<bigint>, starts array<bigint>, cu_seqlens array<int>, ids binary, ids_sha256 string"
+ROWS = "shard bigint, pack bigint, n_tokens bigint, doc_ids array<bigint>, starts array<bigint>, cu_seqlens array<int>, ids binary, ids_sha256 string, positions binary"
+_NAMES = [c.split()[0] for c in ROWS.split(", ")]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.string(), pa.binary()]
+
+
+def position_ids(cu_seqlens: list[int], length: int) -> np.ndarray:
+    """Positions of a row of ``length``: from 0 on in every segment, 0 in the padding."""
+    out = np.zeros(length, np.int32)
+    for a, b in zip(cu_seqlens, cu_seqlens[1:]):
+        out[a:b] = np.arange(b - a)
+    return out
+
+
+def _packed(shard: int, docs: list[tuple[int | None, np.ndarray]], length: int) -> Iterator[pa.RecordBatch]:
+    """The packed rows of one stretch of documents."""
+    docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, d[1].tobytes()))
+    pieces = [(d, at, min(length, len(ids) - at)) for d, (_, ids) in enumerate(docs) for at in range(0, len(ids), length)]
+    packed = best_fit_decreasing([n for _, _, n in pieces], length)
+    for begin in range(0, len(packed), 256):
+        out = []
+        for number, row in enumerate(packed[begin : begin + 256], begin):
+            parts = [pieces[i] for i in row]
+            ids = np.concatenate([docs[d][1][at : at + n] for d, at, n in parts]).astype("<u2").tobytes()
+            ends = np.cumsum([0] + [n for _, _, n in parts]).tolist()
+            positions = position_ids(ends, ends[-1]).astype("<u2").tobytes()
+            out.append((shard, number, ends[-1], [docs[d][0] for d, _, _ in parts], [at for _, at, _ in parts], ends, ids, hashlib.sha256(ids).hexdigest(), positions))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
 
 
 def pack(docs: DataFrame, length: int = LENGTH, docs_per_shard: int = DOCS_PER_SHARD, path: str = VOCABULARY) -> DataFrame:
-    """``ROWS``: one row per packed row.  ids are little-endian 16-bit numbers without padding.
+    """``ROWS``: one row per packed row.  ids, and positions that begin anew at every segment, are little-endian 16-bit
+    numbers without padding; ``length`` is at most 65,536.
 
     Null and empty texts have no tokens and are in no row.  A null id is a null in ``doc_ids``.
     Repeated rows are packed as often as they occur.  An empty table gives an empty one.
     """
-    shards = max(1, -(-docs.count() // docs_per_shard))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).where("text <> ''")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    fields = ["shard", "pack", "n_tokens", "doc_ids", "starts", "cu_seqlens", "ids", "ids_sha256"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.string()]
-
-    def run(key, batches):
-        docs_of, pieces = [], []
-        for batch in batches:
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                docs_of.append((ident, encode(text, path)))
-        docs_of.sort(key=lambda d: (d[0] is None, d[0] or 0, d[1].tobytes()))
-        for d, (_, ids) in enumerate(docs_of):
-            pieces += [(d, at, min(length, len(ids) - at)) for at in range(0, len(ids), length)]
-        packed = best_fit_decreasing([n for _, _, n in pieces], length)
-        for begin in range(0, len(packed), 256):
-            out = []
-            for number, row in enumerate(packed[begin : begin + 256], begin):
-                parts = [pieces[i] for i in row]
-                ids = np.concatenate([docs_of[d][1][at : at + n] for d, at, n in parts]).astype("<u2").tobytes()
-                ends = np.cumsum([0] + [n for _, _, n in parts])
-                out.append((key[0].as_py(), number, int(ends[-1]), [docs_of[d][0] for d, _, _ in parts], [at for _, at, _ in parts], ends.tolist(), ids, hashlib.sha256(ids).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=fields)
-
-    from collections.abc import Iterator
-
-    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return rows.select("doc_id", "text", "shard").groupBy("shard").applyInArrow(run, ROWS)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a partition's stretches are numbered within it
+        shard, held, tokens = TaskContext.get().partitionId() << 32, [], 0
+        for piece in chunks(batches, "text"):
+            for ident, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+                held.append((ident, encode(text, path)))
+                tokens += len(held[-1][1])
+                if len(held) >= docs_per_shard or tokens >= TOKENS_PER_SHARD:
+                    yield from _packed(shard, held, length)
+                    shard, held, tokens = shard + 1, [], 0
+        yield from _packed(shard, held, length)
 
-def position_ids(cu_seqlens: list[int], length: int) -> np.ndarray:
-    """Positions of a row of ``length``: from 0 on in every segment, 0 in the padding."""
-    out = np.zeros(length, np.int32)
-    for a, b in zip(cu_seqlens, cu_seqlens[1:]):
-        out[a:b] = np.arange(b - a)
-    return out
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).where("text <> ''")
+    return rows.mapInArrow(run, ROWS)
 
 
 def write_matrices(packed: DataFrame, folder: str, length: int = LENGTH, pad: int = PAD) -> DataFrame:
