@@ -2,7 +2,8 @@
 
 The segmentations of a text are the paths of the lattice of vocabulary pieces; a path's score is
 the sum of its pieces' scores.  A character without a piece of its own becomes its UTF-8 bytes,
-at a score below every piece.  Scores are whole numbers, so sums are exact.
+at a score below every piece.  Scores are counted in whole numbers (units of 2 ** -20 where a vocabulary's
+are fractions), so sums are exact.
 
 The N best paths come from a search in two directions: forward Viterbi gives the best score from
 the start to every place; backward A-star from the end uses it as its heuristic.  As that is exact,
@@ -14,7 +15,9 @@ once in numpy (edges in order of their ends), which also gives how much the seco
 chunk costs.  The N best of a text change at most the N - 1 chunks whose second best cost least, so
 A-star runs on those alone and the exact N best of the text are sums over so few lists.
 
-Solved chunks are kept per worker, up to ``KEEP``; texts of any length are encoded whole.
+Solved chunks are kept per worker, up to ``KEEP`` chunks and ``KEEP_CHARS`` characters of them.  Texts of any length are
+encoded whole; a chunk of more than ``LONG`` characters is solved by itself, in memory of a few numbers a character: A-star
+keeps no more open ends than it still owes paths, as each of them leads to a path of its own.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import by_chunk, text_of
 
-MODEL, BEST, KEEP, BATCH = "/opt/tokenizers/piece_bpe_32k.model", 4, 600_000, 1 << 17
+MODEL, BEST, KEEP, KEEP_CHARS, BATCH, LONG = "/opt/tokenizers/piece_bpe_32k.model", 4, 600_000, 8_000_000, 1 << 17, 1 << 15
 MARK, LITERAL = "▁", "\ud800"  # a word mark in the text itself is not a space: it goes through its bytes
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -57,6 +60,8 @@ class Lattice:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.size = n
+        scores = [sp.get_score(i) for i in range(n)]
+        self.scale = 1 if all(x == round(x) for x in scores) else 1 << 20
         self.bytes: list[bytes] = [b""] * n
         self.byte_ids = [0] * 256
         self.pieces: dict[str, tuple[int, int]] = {}
@@ -67,10 +72,10 @@ class Lattice:
                 self.bytes[i] = bytes([int(piece[1:-1], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 assert MARK not in piece.lstrip(MARK) and "\n" not in piece, "this vocabulary's lattice has no safe cuts"
-                self.pieces[piece] = i, round(-sp.get_score(i))
+                self.pieces[piece] = i, round(-scores[i] * self.scale)
                 self.bytes[i] = piece.replace(MARK, " ").encode()
         self.longest = max(map(len, self.pieces))
-        self.unknown = max((c for _, c in self.pieces.values() if c < 10**9), default=0) + 10
+        self.unknown = max((c for _, c in self.pieces.values() if c < 10**9 * self.scale), default=0) + 10 * self.scale
         self.tables = []
         for size in range(1, self.longest + 1):
             own = [(p, i, c) for p, (i, c) in self.pieces.items() if len(p) == size]
@@ -84,9 +89,11 @@ class Lattice:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.cost, self.second = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.lists: dict[str, list] = {}
+        self.listed = 0
 
     # --- many chunks at once ---------------------------------------------------------
 
@@ -158,12 +165,16 @@ class Lattice:
         flat, counts = ids[path], np.bincount(owner[path], minlength=len(chunks))
         if (flat < 0).any():
             flat, counts = self._with_bytes(flat, owner[path], len(chunks))
+        self._keep(chunks, flat, counts, best, second - best)
+
+    def _keep(self, chunks: list[str], flat: np.ndarray, counts: np.ndarray, best: np.ndarray, more: np.ndarray) -> None:
         base = len(self.cost)
         self.index.update(zip(chunks, range(base, base + len(chunks))))
+        self.chars += sum(map(len, chunks))
         self.ids = np.concatenate([self.ids, flat.astype(np.int32)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
         self.cost = np.concatenate([self.cost, best])
-        self.second = np.concatenate([self.second, np.minimum(second - best, _FAR)])
+        self.second = np.concatenate([self.second, np.minimum(more, _FAR)])
 
     def _bytes_of(self, code: int) -> list[int]:
         char = chr(code)
@@ -188,21 +199,24 @@ class Lattice:
 
     def n_best(self, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """(cost, ids) of the n best paths, best first: Viterbi forward, A-star backward."""
-        into: list[list[tuple[int, int, int]]] = [[] for _ in range(len(chunk) + 1)]
-        alpha = [0] + [_FAR] * len(chunk)
+
+        def into(end: int) -> list[tuple[int, int, int]]:
+            found = [(start, *got) for start in range(max(0, end - self.longest), end) if (got := self.pieces.get(chunk[start:end]))]
+            if chunk[end - 1] not in self.pieces:
+                found.append((end - 1, -ord(chunk[end - 1]) - 1, self.unknown))
+            return found
+
+        alpha, seen = [0] * (len(chunk) + 1), {}
         for end in range(1, len(chunk) + 1):
-            for start in range(max(0, end - self.longest), end):
-                got = self.pieces.get(chunk[start:end])
-                if got is None and end - start == 1:
-                    got = -ord(chunk[start]) - 1, self.unknown
-                if got:
-                    into[end].append((start, *got))
-                    alpha[end] = min(alpha[end], alpha[start] + got[1])
+            found = into(end)
+            alpha[end] = min(alpha[start] + cost for start, _, cost in found)
+            if len(chunk) <= LONG:
+                seen[end] = found
         count = itertools.count()
-        heap = [(alpha[-1], len(chunk), next(count), 0, None)]
+        ends = [(alpha[-1], len(chunk), next(count), 0, None)]
         out = []
-        while heap and len(out) < n:
-            f, at, _, g, tail = heapq.heappop(heap)
+        while ends and len(out) < n:
+            f, at, _, g, tail = ends.pop(0)
             if not at:
                 path = []
                 while tail:
@@ -210,8 +224,8 @@ class Lattice:
                     tail = tail[1]
                 out.append((f, tuple(path)))
                 continue
-            for start, ident, cost in into[at]:
-                heapq.heappush(heap, (g + cost + alpha[start], start, next(count), g + cost, (ident, tail)))
+            more = [(g + cost + alpha[start], start, next(count), g + cost, (ident, tail)) for start, ident, cost in seen.get(at) or into(at)]
+            ends = heapq.nsmallest(n - len(out), ends + more)
         return out
 
     # --- texts -------------------------------------------------------------------------
@@ -221,20 +235,32 @@ class Lattice:
 
     def learn(self, lists: list[list[str]]) -> list[np.ndarray]:
         """The place of each chunk among the solved ones; new chunks are solved first, many characters at once."""
-        if len(self.index) > KEEP:
+        if len(self.index) > KEEP or self.chars > KEEP_CHARS:
             self.clear()
-        known = [list(map(self.index.get, chunks)) for chunks in lists]
-        new = sorted({c for chunks, found in zip(lists, known) if None in found for c, k in zip(chunks, found) if k is None})
+        index, places = self.index, []
+        unknown: set[str] = set()
+        for chunks in lists:
+            k = np.fromiter(map(index.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+            places.append(k)
+            unknown.update(chunks[i] for i in np.flatnonzero(k < 0))
+        new = sorted(unknown)
         i = 0
         while i < len(new):
+            if len(new[i]) > LONG:
+                (best, path), *others = self.n_best(new[i], 2)
+                self._keep([new[i]], np.array(path, np.int64), np.array([len(path)]), np.array([best]), np.array([others[0][0] - best if others else _FAR]))
+                i += 1
+                continue
             j, total = i, 0
-            while j < len(new) and (j == i or total < BATCH):
+            while j < len(new) and len(new[j]) <= LONG and (j == i or total < BATCH):
                 total += len(new[j])
                 j += 1
             self.solve(new[i:j])
             i = j
-        index = self.index
-        return [np.array([index[c] if k is None else k for c, k in zip(chunks, found)] if None in found else found, np.int64) for chunks, found in zip(lists, known)]
+        for chunks, k in zip(lists, places):
+            odd = np.flatnonzero(k < 0)
+            k[odd] = [index[chunks[i]] for i in odd]
+        return places
 
     def encode(self, chunks: list[str], k: np.ndarray, n: int = BEST) -> list[tuple[int, np.ndarray]]:
         """(cost, ids) of the n best segmentations of a text; ``k`` is what ``learn`` gave for its chunks."""
@@ -257,8 +283,10 @@ class Lattice:
             c = chunks[i]
             if c not in self.lists:
                 own = tuple(self.ids[self.starts[k[i]] : self.starts[k[i] + 1]].tolist())
-                if len(self.lists) > KEEP:
+                if len(self.lists) > KEEP or self.listed > KEEP_CHARS:
                     self.lists.clear()
+                    self.listed = 0
+                self.listed += len(c)
                 self.lists[c] = [(0, None)] + [(cost - int(self.cost[k[i]]), path) for cost, path in self.n_best(c, n + 1) if path != own][: n - 1]
             lists.append(self.lists[c])
         more = reduce(np.add.outer, [np.array([x[0] for x in own]) for own in lists], np.zeros((), np.int64))
@@ -301,7 +329,7 @@ def encode(docs: DataFrame, n: int = BEST, path: str = MODEL) -> DataFrame:
         out: dict[str, list] = {k: [] for k in ("n_ids", "score", "ids", "n_best", "round_trip")}
         for text, chunks, k in zip(texts, lists, places):
             best = own.encode(chunks, k, n)
-            packed = [(float(-cost), len(ids), ids.astype("<u2").tobytes()) for cost, ids in best]
+            packed = [(-cost / own.scale, len(ids), ids.astype("<u2").tobytes()) for cost, ids in best]
             out["n_ids"].append(packed[0][1])
             out["score"].append(packed[0][0])
             out["ids"].append(packed[0][2])
