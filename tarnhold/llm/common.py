@@ -12,7 +12,6 @@ Conventions of every operator here:
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -21,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cuts import root
+
 #: A word: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,29 +29,35 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_CHARS = 2_000_000
 
 
-_own_root: dict[str, str] = {}
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; an error where a cluster names none."""
+    return root(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; an own one only where the session names none (as in tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _own_root:
-            _own_root[app] = "file://" + tempfile.mkdtemp(prefix="tarnhold-")
-            spark.sparkContext.setCheckpointDir(_own_root[app])
-        root = _own_root[app]
-    return root
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` as a written table in the shared folder; removed when the JVM ends."""
+    """``df`` as a written table in the shared folder; removed by ``discard`` or when the JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarnhold/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    system, where = _folder(spark, path)
+    system.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tarnhold_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``materialize`` that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_tarnhold_path", None)
+        if path:
+            system, where = _folder(df.sparkSession, path)
+            system.delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,8 +8,9 @@ pair of similarity 0.8 a chance of about 3e-6 to share no band.
 
 ``link`` turns sets into classes without ever emitting the pairs of a group:
 
-1. Rows with equal sets (128-bit hash of the sorted set) are one node, named by the smallest id.
-2. Each band bucket names one hub, its smallest node; every other node of it gives one candidate
+1. Rows with equal sets (128-bit hash of the sorted set) are one node with a number of its own; it knows
+   the smallest id of its rows.  Rows that share an id but not a set are different nodes.
+2. Each band bucket of two nodes or more names one hub, its smallest node; every other node of it gives one candidate
    (node, hub).  The collision-corrected estimate over the registers drops hopeless ones; the rest
    are verified on the full sets: 100 * intersection >= 80 * union.
 3. Connected components of the links (alternating large and small stars).
@@ -27,6 +28,7 @@ the query.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -34,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_chunk, materialize, text_of
+from .common import by_chunk, discard, materialize, text_of
 from .shingles import mixed, shingle_set
 
-BUCKETS, BANDS, ROWS, MANTISSA, BLOCK, WEIGHT = 256, 42, 6, 10, 1024, 1_000_000
+BUCKETS, BANDS, ROWS, MANTISSA, BLOCK, WEIGHT, SLICE = 256, 42, 6, 10, 2048, 2_000_000, 250_000
 PERCENT = 80
 #: Standard errors under the threshold at which an estimate is hopeless.
 SLACK = 6.0
@@ -105,37 +107,45 @@ def set_hash(shingles: np.ndarray) -> str:
 
 
 def sign(docs: DataFrame, width: int, bands: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """doc_id, n_shingles, set (hash; null if empty), regs, and keys if ``bands`` makes them from the set."""
+    """doc_id, row (hash of the text), n_shingles, set (hash; null if empty), regs, and keys if ``bands`` makes them from the set."""
 
     def run(piece: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_shingles", "set", "regs", "keys")}
-        for text in piece.column(1).to_pylist():
+        for text in piece.column(2).to_pylist():
             s = shingle_set(text, width)
             regs = registers(s) if len(s) else None
             out["n_shingles"].append(len(s))
             out["set"].append(set_hash(s) if len(s) else None)
             out["regs"].append(regs.tobytes() if len(s) else None)
             out["keys"].append(None if not len(s) else bands(s).view(np.int64) if bands else None)
-        return {"doc_id": piece.column(0), **out}
+        return {"doc_id": piece.column(0), "row": piece.column(1), **out}
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    return by_chunk(rows, run, "doc_id bigint, n_shingles bigint, set string, regs binary, keys array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("row"), text_of().alias("text"))
+    return by_chunk(rows, run, "doc_id bigint, row bigint, n_shingles bigint, set string, regs binary, keys array<bigint>")
+
+
+def _nodes(signed: DataFrame) -> DataFrame:
+    """node, set, least (smallest id of the set's rows), n_shingles, regs, keys: one row per set."""
+    full = signed.where("set IS NOT NULL AND doc_id IS NOT NULL")
+    one = full.groupBy("set").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
+    return materialize(one.withColumn("node", F.monotonically_increasing_id()))
 
 
 def _keys_of(nodes: DataFrame) -> DataFrame:
-    """node, band key: one row per node and band."""
+    """node, its set's size, band key: one row per node and band."""
 
     def run(piece: pa.RecordBatch) -> dict:
-        keys = [band_keys(np.frombuffer(r, np.uint16)) if k is None else np.asarray(k, np.int64) for r, k in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist())]
-        return {"node": np.repeat(piece.column(0).to_numpy(), [len(k) for k in keys]), "key": np.concatenate(keys)}
+        keys = [band_keys(np.frombuffer(r, np.uint16)) if k is None else np.asarray(k, np.int64) for r, k in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist())]
+        times = [len(k) for k in keys]
+        return {"node": np.repeat(piece.column(0).to_numpy(), times), "n": np.repeat(piece.column(1).to_numpy(), times), "key": np.concatenate(keys)}
 
-    return by_chunk(nodes.select("node", "regs", "keys"), run, "node bigint, key bigint", "regs")
+    return by_chunk(nodes.select("node", "n_shingles", "regs", "keys"), run, "node bigint, n bigint, key bigint", "regs")
 
 
 def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose estimate is not hopeless."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % PERCENT)
+    """The pairs (a, b, with their sizes n_a, n_b) whose estimate is not hopeless."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("regs").alias(f"r_{x}"))
+    both = pairs.where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % PERCENT).join(side("a"), "a").join(side("b"), "b")
 
     def run(piece: pa.RecordBatch) -> dict:
         a, b, n, m, x, y = piece.columns
@@ -148,8 +158,8 @@ def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _sets(asked: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node, shingles of the nodes in ``asked``, made again from their texts."""
-    asked = asked.select("node").distinct().join(nodes.select("node", "set"), "node")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_of().alias("text")).join(asked, "node")
+    asked = asked.select("node").distinct().join(nodes.select("node", "set", "least"), "node")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("least"), text_of().alias("text")).join(asked, "least")
 
     def run(piece: pa.RecordBatch) -> dict:
         out = [(i, s.astype("<u8").tobytes()) for i, t, h in zip(*[piece.column(k).to_pylist() for k in range(3)]) if set_hash(s := shingle_set(t, width)) == h]
@@ -195,7 +205,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a and its smaller neighbours go to the least of them
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).where("a <> b").distinct()
-        edges = materialize(small)
+        last, edges = edges, materialize(small)
+        discard(last)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
@@ -204,7 +215,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _promising_in(t: pa.Table) -> pa.Table:
     """The rows of a task with a partner across sides and components whose estimate is not hopeless."""
-    side, part, n = (t.column(c).to_numpy() for c in ("side", "component", "n_shingles"))
+    side, part, n = (t.column(c).to_numpy() for c in ("side", "component", "n"))
     regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
     right = np.flatnonzero(side == 1) if (side == 1).any() else np.arange(len(side))
     keep = np.zeros(len(side), bool)
@@ -219,16 +230,15 @@ def _promising_in(t: pa.Table) -> pa.Table:
 
 def common_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048) -> np.ndarray:
     """Sizes of all intersections of two lists of sorted distinct arrays, by products of membership matrices."""
-    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in [*a, *b]])
-    values, index, times = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(times > 1)
-    place = np.full(len(values), -1)
-    place[shared] = np.arange(len(shared))
-    place = place[index]
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
+    values = np.concatenate([*a, *b])
+    order = np.argsort(values)
+    owner = np.repeat(np.arange(len(a) + len(b), dtype=np.int32), [len(x) for x in [*a, *b]])[order]
+    values = values[order]
+    same = np.concatenate([[False], values[1:] == values[:-1]])
+    shared = same | np.concatenate([same[1:], [False]])  # values that two arrays or more have
+    owner, place = owner[shared], np.cumsum(~same[shared]) - 1
     out = np.zeros((len(a), len(b)), np.float32)
-    for low in range(0, len(shared), columns):
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
         i, j = np.searchsorted(place, [low, low + columns])
         m = np.zeros((len(a) + len(b), columns), np.float32)
         m[owner[i:j], place[i:j] - low] = 1
@@ -236,6 +246,17 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048)
     return out
 
 
+def _slices(sizes: list[int]) -> list[slice]:
+    """Neighbours taken together until they have ``SLICE`` shingles."""
+    out, start, total = [], 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and total + n > SLICE:
+            out.append(slice(start, k))
+            start, total = k, 0
+        total += n
+    return [*out, slice(start, len(sizes))]
+
+
 def _linked_in(t: pa.Table) -> pa.Table:
     """One verified link for each two components that a task's sets link."""
     side, node, part = (t.column(c).to_numpy() for c in ("side", "node", "component"))
@@ -244,7 +265,9 @@ def _linked_in(t: pa.Table) -> pa.Table:
     right = np.flatnonzero(side == 1) if (side == 1).any() else left
     a, b = [], []
     if len(left) and len(right):
-        common = common_counts([sets[i] for i in left], [sets[j] for j in right])
+        common = np.zeros((len(left), len(right)), np.float32)
+        for i, j in itertools.product(_slices([len(sets[k]) for k in left]), _slices([len(sets[k]) for k in right])):
+            common[i, j] = common_counts([sets[k] for k in left[i]], [sets[k] for k in right[j]])
         n = np.array([len(x) for x in sets], np.float32)
         x, y = np.nonzero((100 * common >= PERCENT * (n[left][:, None] + n[right][None, :] - common)) & (part[left][:, None] != part[right][None, :]))
         x, y = left[x], right[y]
@@ -258,58 +281,71 @@ def _linked_in(t: pa.Table) -> pa.Table:
 def _across(members: DataFrame, parts: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """Links between different components of a bucket, blocks against blocks.
 
-    ``members`` has node and key of buckets, without their hubs; ``parts`` node and component.
+    ``members`` has node, n and key of buckets, without their hubs; ``parts`` node and component.
     """
-    sized = nodes.select("node", "n_shingles")
-    labelled = members.join(sized, "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    n, weight = F.count(F.lit(1)), F.sum("n_shingles")
-    open_ = labelled.groupBy("key").agg(F.greatest(n / BLOCK, weight / WEIGHT).alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    rows = labelled.join(open_.select("key", "blocks"), "key")
-    own = rows.groupBy("key", "component").agg(F.greatest(n / BLOCK, weight / WEIGHT).alias("own"))
-    rows = rows.join(own, ["key", "component"])
+    labelled = materialize(members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    count, weight = F.count(F.lit(1)), F.sum("n")
+    blocks = F.greatest(count / BLOCK, weight / WEIGHT)
+    open_ = labelled.groupBy("key").agg(blocks.alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "blocks")
+    rows = materialize(labelled.join(open_, "key"))
+    own = rows.groupBy("key", "component").agg(blocks.alias("own")).where("own > 0.5")  # the others share blocks
+    rows = rows.join(own, ["key", "component"], "left")
     # a large component has blocks of its own, by the node's hash; small ones share blocks, by the component's
     spread = F.pmod(F.xxhash64("node"), F.ceil(F.col("own")))
     alone = F.concat_ws(":", F.col("component").cast("string"), spread.cast("string"))
     shared = F.pmod(F.xxhash64("component"), F.ceil(F.col("blocks"))).cast("string")
-    rows = materialize(rows.select("key", "node", "component", F.when((F.col("own") > 0.5) & (F.col("blocks") > 1), alone).otherwise(shared).alias("block")))
+    rows = materialize(rows.select("key", "node", "n", "component", F.when(F.col("own").isNotNull() & (F.col("blocks") > 1), alone).otherwise(shared).alias("block")))
     blocks = rows.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     x, y = blocks.toDF("key", "x", "low_x", "high_x"), blocks.toDF("key", "y", "low_y", "high_y")
     tasks = x.join(y, "key").where("x <= y AND NOT (low_x = high_x AND low_y = high_y AND low_x = low_y)").select("key", "x", "y")
     tasks = tasks.withColumn("task", F.xxhash64("key", "x", "y"))
     sides = tasks.select("key", F.col("x").alias("block"), "task", F.lit(0).alias("side")).union(tasks.where("x <> y").select("key", F.col("y"), "task", F.lit(1)))
-    dealt = rows.join(sides, ["key", "block"]).select("task", "side", "node", "component")
-    dealt = dealt.join(nodes.select("node", "n_shingles", "regs"), "node")
+    dealt = rows.join(sides, ["key", "block"]).select("task", "side", "node", "n", "component")
+    dealt = dealt.join(nodes.select("node", "regs"), "node")
     schema = "task bigint, side int, node bigint, component bigint"
     left = materialize(dealt.groupBy("task").applyInArrow(_promising_in, schema))
     sets = _sets(left, docs, nodes, width)
-    return left.join(sets, "node").groupBy("task").applyInArrow(_linked_in, "a bigint, b bigint").distinct()
+    links = materialize(left.join(sets, "node").groupBy("task").applyInArrow(_linked_in, "a bigint, b bigint").distinct())
+    discard(labelled, rows, left)
+    return links
 
 
-def link(docs: DataFrame, width: int = 5, bands: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """doc_id, n_shingles, set and component_id of every row.
-
-    Sets of shingles of ``width`` words are linked from a Jaccard similarity of 0.8 on.  Rows
-    without words (null and empty texts too) link with nothing and are their own component; so is
-    a row with null id, whose component_id is null.  Rows that share an id are one node.  Equal
-    sets are linked.  ``bands`` may give other band keys than those of the registers.
-    """
+def _classes(docs: DataFrame, width: int, bands: Callable[[np.ndarray], np.ndarray] | None) -> tuple[DataFrame, DataFrame]:
+    """Signed rows, and set and component (a number) of every set."""
     signed = materialize(sign(docs, width, bands))
-    full = signed.where("set IS NOT NULL AND doc_id IS NOT NULL")
-    classes = full.groupBy("set").agg(F.min("doc_id").alias("node"))
-    first = full.join(classes, "set").where("doc_id = node").dropDuplicates(["node"])
-    nodes = materialize(first.select("node", "set", "n_shingles", "regs", "keys"))
+    nodes = _nodes(signed)
     keyed = materialize(_keys_of(nodes))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    members = materialize(keyed.join(hubs, "key"))
-    pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("in")).where("in > 1")
+    members = materialize(keyed.join(hubs, "key").where("node <> hub.node").select("key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub"), "in"))
+    pairs = members.select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("n").alias("n_a"), F.col("n_hub").alias("n_b")).distinct()
     links = materialize(_verified(materialize(_promising(pairs, nodes)), docs, nodes, width))
-    parts = components(links)
-    rest = materialize(_across(members.where("node <> hub").select("node", "key"), parts, docs, nodes, width))
+    parts = materialize(components(links))
+    rest = _across(members.where("in > 2").select("node", "n", "key"), parts, docs, nodes, width)
     if not rest.isEmpty():
         parts = components(links.union(rest))
-    named = classes.join(parts, "node", "left").select(F.col("set").alias("c_set"), F.coalesce("component", "node").alias("component"))
-    out = signed.join(named, F.col("set") == F.col("c_set"), "left")
-    return out.select("doc_id", "n_shingles", "set", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    named = nodes.select("set", "node").join(parts, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
+    named = materialize(named)
+    discard(keyed, members, links, rest)
+    return signed, named
+
+
+def link(docs: DataFrame, width: int = 5, bands: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """doc_id, row (hash of the text), n_shingles, set, component (a number, null without words or id) and component_id of every row.
+
+    Sets of shingles of ``width`` words are linked from a Jaccard similarity of 0.8 on.  Rows
+    without words (null and empty texts too) link with nothing and are their own component; so is
+    a row with null id, whose component_id is null.  Equal sets are linked.  Rows that share an id are
+    linked only if their sets are, so rows of one id may be in several components.  ``bands`` may give other
+    band keys than those of the registers.
+    """
+    signed, named = _classes(docs, width, bands)
+    known = "set IS NOT NULL AND doc_id IS NOT NULL"
+    rows = signed.select("doc_id", "row", "n_shingles", "set")
+    parts = rows.where(known).join(named, "set")
+    least = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    names = ["doc_id", "row", "n_shingles", "set", "component", "component_id"]
+    own = rows.where(f"NOT ({known})").withColumns({"component": F.lit(None).cast("bigint"), "component_id": F.col("doc_id")})
+    return parts.join(least, "component").select(*names).unionByName(own.select(*names))
 
 
 def digest(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -319,13 +355,24 @@ def digest(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs`` without near copies, all columns: of each component the row of its smallest id, of repeated rows one.
+    """``docs`` without near copies, all columns: of each component the row of its smallest id (of rows that share it, the
+    one whose text has the smallest hash), of rows with equal id and text one.  Rows with null id or without words stay.
 
-    Rows with null id or without words stay.
+    Texts are shuffled once, to meet the ids that stay; only rows that occur more than once are grouped.
     """
-    rows = link(docs, width).where("doc_id IS NOT NULL AND set IS NOT NULL")
-    kept = rows.where("doc_id = component_id").select(F.col("doc_id").alias("__th_id"), F.col("n_shingles").alias("__th_n")).dropDuplicates(["__th_id"])
-    known = docs.where("doc_id IS NOT NULL").join(kept.select("__th_id"), F.col("doc_id").cast("bigint") == F.col("__th_id"), "left_semi")
-    once = known.dropDuplicates(["doc_id"])
+    rows = link(docs, width).where("component IS NOT NULL")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    times = rows.groupBy("component", F.struct("doc_id", "row").alias("first")).agg(F.count(F.lit(1)).alias("times"))
+    kept = materialize(times.join(first, ["component", "first"]).select(F.col("first.doc_id").alias("__th_id"), F.col("first.row").alias("__th_row"), "times"))
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return once.where(words).unionByName(docs.where(F.col("doc_id").isNull() | ~words))
+    known = docs.where(F.col("doc_id").isNotNull() & words)
+
+    def those(of: DataFrame) -> DataFrame:
+        here = (F.col("doc_id").cast("bigint") == F.col("__th_id")) & (F.xxhash64(text_of()) == F.col("__th_row"))
+        return known.join(of, here, "left_semi")
+
+    out = those(kept.where("times = 1")).unionByName(docs.where(F.col("doc_id").isNull() | ~words))
+    again = kept.where("times > 1")
+    if not again.isEmpty():
+        out = out.unionByName(those(again).dropDuplicates(["doc_id", "text"]))
+    return out
