@@ -2,8 +2,8 @@
 
 A fingerprint is the minimum of each of ``PERMUTATIONS`` universal hashes (a * x + b, high bits)
 over the text's shingles of five words, kept as 16 bits; the share of equal positions estimates
-the Jaccard similarity.  ``band_keys`` cuts it into bands for ``neardup.link``, which joins them
-in Spark and verifies the Jaccard similarity on full sets.
+the Jaccard similarity.  ``near`` cuts fingerprints into bands, joins them in Spark and verifies the
+Jaccard similarity on full sets.
 
 ``digest`` compares each text with the next one in descending order of doc_id without a global
 window: rows are range partitioned and sorted once, each task streams its rows with one row of
@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_chunk, chunks, materialize, text_of
-from .shingles import shingle_set
+from . import neardup
+from .shingles import shingles
 
 PERMUTATIONS, WIDTH, BAND = 64, 5, 4
 _rng = np.random.default_rng(20240)
@@ -39,7 +40,8 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str | None) -> np.ndarray:
-    return minima(shingle_set(text, WIDTH))
+    """Repeated shingles change no minimum, so they are not sorted out first."""
+    return minima(shingles(text, WIDTH))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -58,6 +60,19 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def near(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable) and linked (whether another text is in its component) of every row.
+
+    Signature bands are joined in Spark, and the pairs that share one are verified: texts are linked if the Jaccard similarity
+    of their full sets of shingles is 0.8 or more.  A pair of that similarity shares one of 16 bands of 4 with a chance of
+    0.9998.  Rows without words link with nothing, null ids are in no component.
+    """
+    rows = neardup.link(docs, WIDTH, band_keys)
+    classes = rows.where("component IS NOT NULL").groupBy(F.col("component").alias("c")).agg((F.count(F.lit(1)) > 1).alias("linked"))
+    out = rows.join(classes, F.col("component") == F.col("c"), "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("linked", F.lit(False)).alias("linked"))
+
+
 COLUMNS = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 _EDGES = COLUMNS + ", edge int, part int, text string"
@@ -118,7 +133,7 @@ def digest(docs: DataFrame) -> DataFrame:
     # one row per partition
     after = F.coalesce(F.lead("head").over(Window.orderBy("head")), F.min("head").over(Window.partitionBy()))
     steps = heads.select(F.col("head").alias("part"), after.alias("head"))
-    tails = made.where("edge = 2").select("doc_id", "text", "part").join(steps, "part").join(heads, "head")
+    tails = made.where("edge = 2").select("doc_id", "text", "part").join(steps, "part").join(heads.hint("merge"), "head")  # heads hold whole texts
 
     def run(piece: pa.RecordBatch) -> dict:
         got = [_row(i, t, fingerprint(t), f, fingerprint(f)) for i, t, f in zip(*[piece.column(k).to_pylist() for k in range(3)])]

@@ -16,7 +16,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Distinct shingles of ``width`` words, A-Z in lower case; fewer words are one shingle, none an empty set."""
+    """Distinct shingles of a text, in order."""
+    return np.unique(shingles(text, width))
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Shingles of ``width`` words, A-Z in lower case; fewer words are one shingle, none an empty set."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
@@ -29,4 +34,4 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     out = h[: n - width + 1]
     for j in range(1, width):
         out = mixed(out * _A + h[j : n - width + 1 + j])
-    return np.unique(out)
+    return out
