@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, matroska, minhash, mixing, neardup, packing, pieces, quality, secrets, toolcalls
+from . import langid, matroska, minhash, mixing, neardup, oracles, packing, pieces, quality, secrets, toolcalls
 from .common import table
 
 
@@ -52,17 +53,23 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of operator 5: bands of fingerprints joined, and the pairs that share one verified."""
+    return minhash.near(table(spark, sf_dir, "documents"))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans alone, which SQL can find too."""
+    rows = secrets.scanned(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in secrets.KINDS[:3]], secrets.shown(F.col("found")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_secret_scan": op1_secret_scan,
-    "op2_line_quality": op2_line_quality,
-    "op3_near_duplicates": op3_near_duplicates,
-    "op4_language_id": op4_language_id,
-    "op5_fingerprints": op5_fingerprints,
-    "op6_media_columns": op6_media_columns,
-    "op7_tool_calls": op7_tool_calls,
-    "op8_piece_segmentation": op8_piece_segmentation,
-    "op9_packed_tokens": op9_packed_tokens,
-    "op10_source_mixing": op10_source_mixing,
-}
-
-ORACLES: dict[str, str] = {}
+    q.__name__: q
+    for q in (
+        op1_secret_scan, op2_line_quality, op3_near_duplicates, op4_language_id, op5_fingerprints, op6_media_columns,
+        op7_tool_calls, op8_piece_segmentation, op9_packed_tokens, op10_source_mixing, fingerprint_links, secret_base_spans,
+    )
+}
+
+ORACLES: dict[str, str] = oracles.ORACLES
