@@ -127,7 +127,79 @@ def test_packing(small, edges, empty, tmp_path):
                 assert own.decode(whole) == text
             else:
                 assert len(whole) == len(own.encode_ordinary(text)) * (1 + len(copies))
+    for r in packing.pack(edges).collect():
+        ids = np.frombuffer(r.positions, "<u2").tolist()
+        assert ids == [i for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:]) for i in range(b - a)]
     files = packing.write_matrices(packing.pack(small), str(tmp_path / "m")).collect()
     assert files and all(f.ids[:6] == b"\x93NUMPY" for f in files)
     assert packing.pack(empty).count() == 0
     assert packing.position_ids([0, 2, 5], 7).tolist() == [0, 1, 0, 1, 2, 0, 0]
+
+
+def test_packing_of_repeated_rows_spreads(spark):
+    """3000 repeated rows and 3000 without an id are in as many stretches as other rows would be."""
+    rows = spark.range(6000, numPartitions=4).selectExpr("CASE WHEN id < 3000 THEN 7L END AS doc_id", "'the same words again and again' AS text")
+    got = packing.pack(rows).collect()
+    shards = {r.shard: sum(a == 0 for a in r.starts) for r in got}
+    assert len(shards) >= 12 and sum(len(r.doc_ids) for r in got) == 6000 and sum(d is None for r in got for d in r.doc_ids) == 3000
+
+
+def plain_payload(data):
+    """Bytes of all blocks of a file of known sizes, by an own walk through its elements."""
+
+    def number(at, keep):
+        first, n = data[at], 1
+        while not first << n - 1 & 128:
+            n += 1
+        value = int.from_bytes(data[at : at + n], "big")
+        return (value if keep else value & (1 << 7 * n) - 1), at + n
+
+    out, todo = [], [(0, len(data))]
+    while todo:
+        at, end = todo.pop()
+        while at < end:
+            ident, at = number(at, True)
+            size, at = number(at, False)
+            if ident in (0x18538067, 0x1F43B675, 0xA0):  # segment, cluster, block group
+                todo.append((at, at + size))
+            elif ident in (0xA3, 0xA1):
+                begin, lacing = at + 4, data[at + 3] >> 1 & 3
+                if lacing == 3:  # the sizes of all frames but the last stand before them
+                    frames, begin = data[begin], begin + 1
+                    for _ in range(frames):
+                        _, begin = number(begin, False)
+                elif lacing == 2:
+                    begin += 1
+                assert lacing != 1
+                out.append((at, data[begin : at + size]))
+            at += size
+    return b"".join(b for _, b in sorted(out))
+
+
+def test_media_by_another_reader(spark, small):
+    texts = {r.doc_id: r.text or "" for r in small.collect()}
+    for r in matroska.digest(small).collect():
+        raw = texts[r.doc_id].encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        stored = matroska.write_pcm(payload)
+        assert r.media_sha256 == hashlib.sha256(stored).hexdigest() and r.media_bytes == len(stored) and plain_payload(stored) == payload
+        x = [b - 128 for b in payload]
+        said = dict(p.split("=") for p in r.feature.split(";"))
+        assert said["mean"] == f"{sum(payload) / len(payload):.4f}" and said["rms"] == f"{(sum(v * v for v in x) / len(x)) ** 0.5:.4f}" and int(said["peak"]) == max(map(abs, x))
+        assert int(said["zero_crossings"]) == sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+
+
+def test_long_chunks(monkeypatch):
+    """A chunk solved by itself, in little memory, has the paths of one that is solved with others."""
+    monkeypatch.setattr(pieces, "LONG", 20)
+    short, rng = pieces.Lattice(pieces.MODEL), random.Random(4)
+    monkeypatch.undo()
+    whole = pieces.Lattice(pieces.MODEL)
+    for text in ("x" * 90, "".join(rng.choice("abcde\u00e9\U0001f600") for _ in range(200)), "ab" * 60 + " tail " + "q" * 30):
+        chunks = whole.chunks(text)
+        want = whole.encode(chunks, whole.learn([chunks])[0], 4)
+        monkeypatch.setattr(pieces, "LONG", 20)
+        got = short.encode(chunks, short.learn([chunks])[0], 4)
+        monkeypatch.undo()
+        assert [c for c, _ in got] == [c for c, _ in want] and got[0][1].tolist() == want[0][1].tolist()
+        assert all(short.decode(i.tolist()) == text for _, i in got)

@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import json
+import math
 import random
 import re
 
@@ -92,7 +93,78 @@ def test_secrets_of_every_encoding(spark):
             assert share(f"{encoding} {n}") >= 0.5, (encoding, n, share(f"{encoding} {n}"))
 
 
+def plain_battery(body):
+    """The battery once more, in plain Python over one value: encoding, bits against ordinary text, random or not."""
+    for name, (pattern, alphabet) in secrets.ENCODINGS.items():
+        if re.fullmatch(pattern[2:-2], body):
+            break
+    n, k = len(body), len(alphabet)
+    chi = sum((body.count(x) - n / k) ** 2 / (n / k) for x in alphabet)
+    v = [alphabet.index(x) - (k - 1) / 2 for x in body]
+    turns = sum((a >= 0) != (b >= 0) for a, b in zip(v, v[1:]))
+    own = sum(a * a for a in v)
+    serial = sum(a * b for a, b in zip(v, v[1:])) / own if own else 1.0
+    z = [max(0.0, (chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)), (turns - (n - 1) / 2) / math.sqrt((n - 1) / 4), (serial + 1 / n) * math.sqrt(n)]
+    kind = lambda x: "d" if x.isdigit() else "u" if x.isupper() else "l" if x.islower() else "o"
+    classes = sorted({kind(x) for x in alphabet})
+    bits = math.log2(1 / len(classes))
+    for a, b in zip(body, body[1:]):
+        row = secrets.CHANGES[kind(a)]
+        bits += math.log2(row[kind(b)] / sum(row[c] for c in classes))
+    for x in body:
+        same = [y for y in alphabet if kind(y) == kind(x)]
+        weight = lambda y: secrets.FREQUENCY.get(y.lower(), 1.0)
+        bits += math.log2((1 - secrets.EVEN) * weight(x) / sum(map(weight, same)) + secrets.EVEN / len(same))
+    return name, -bits - n * math.log2(k), sum(a * a for a in z) < secrets.RANDOM_LIMIT
+
+
+def value_of(text, span):
+    s, k, e = span
+    return ASSIGN.match(text, s)[2] if k == 0 else text[s:e]
+
+
+def test_battery_and_control_against_brute_force(spark):
+    """Every base value and run of sf0.01 and of made-up keys: each statistic, and Benjamini-Hochberg by its definition."""
+    rng = random.Random(21)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    keys = "".join(map(chr, range(48, 58))) + secrets.UPPER + secrets.LOWER + "+/"
+    texts += [f"key {''.join(rng.choice(keys) for _ in range(rng.choice([24, 40, 64])))} end" for _ in range(60)]
+    texts += [f"name {x} end token = {x[:20]}" for x in ordinary_runs(rng, 300)] + [f"secret: {''.join(rng.choice(keys[:36] + '.=-') for _ in range(30))}" for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    given = {}
+    for i, t in enumerate(texts):
+        known = base_spans(t)
+        for x in known:
+            given[i, x] = value_of(t, x)
+        for m in re.finditer(secrets.RUN, t):
+            if not any(s < m.end() and e > m.start() for s, _, e in known):
+                given[i, (m.start(), 3, m.end())] = m[0].rstrip("=")
+    tested = {key: plain_battery(body) for key, body in given.items()}
+    rows = secrets.battery(secrets.candidates(secrets.scanned(docs))).collect()
+    got = {(r.doc_id, (r.s, r.kind, r.e)): (r.encoding, r.bits, r.random) for r in rows}
+    assert got.keys() == tested.keys() and len(got) > 300
+    for key, (name, bits, random_) in tested.items():
+        assert got[key][0] == name and abs(got[key][1] - bits) < 1e-6 and got[key][2] == random_, given[key]
+    found, families = set(), {}
+    for key, (name, bits, _) in got.items():
+        families.setdefault((key[1][1], name, int(math.log2(len(given[key])))), []).append((min(64, max(0, math.floor(bits))), key))
+    for members in families.values():
+        members.sort(key=lambda m: -m[0])
+        last = max((j for j in range(1, len(members) + 1) if 2.0 ** -members[j - 1][0] <= j * secrets.RATE / len(members)), default=0)
+        limit = members[last - 1][0] if last else 65
+        found |= {key for level, key in members if level >= limit and got[key][2]}
+    digest = {r.doc_id: r for r in secrets.digest(docs).collect()}
+    for i in range(len(texts)):
+        own = [key for key in got if key[0] == i]
+        assert digest[i].n_random == sum(key in found for key in own if key[1][1] == 3)
+        assert digest[i].n_base_random == sum(key in found for key in own if key[1][1] != 3) and digest[i].n_judged == sum(key[1][1] != 3 for key in own)
+        p = [2.0 ** -max(0.0, got[key][1]) for key in own if key[1][1] != 3]
+        assert (digest[i].base_p is None) == (not p) and (not p or abs(digest[i].base_p - min(p)) < 1e-12)
+    assert sum(r.n_base_random for r in digest.values()) > 0 and sum(r.n_random for r in digest.values()) > 30
+
+
 def test_redaction_keeps_rows(edges):
+    edges = edges.withColumns({k: F.lit(1) for k in ("more", "a_id", "a_key", "tested", "n_judged", "x", "k", "kind")})
     out = secrets.redacted(edges)
     assert out.columns == edges.columns and out.count() == edges.count()
     assert "abcdefghijklmnop123" not in out.where("doc_id = 7").first().text
@@ -235,3 +307,70 @@ def test_schemas_to_their_depth(spark):
     for bad in ({"properties": {"x": {"const": 1}}}, {"properties": {"x": {"items": {"exclusiveMinimum": 0}}}}, {"oneOf": []}, {"properties": {"x": {"type": ["string", "null"]}}}):
         with pytest.raises(ValueError):
             toolcalls.errors(F.lit(None), bad)
+
+
+def depths(after):
+    """Longest way down from each call, None on or behind a cycle."""
+    out, todo = {}, True
+    while todo:
+        todo = False
+        for k, deps in after.items():
+            if k not in out and all(d in out for d in deps):
+                out[k] = max((out[d] + 1 for d in deps), default=0)
+                todo = True
+    return out
+
+
+def test_levels_of_random_graphs(spark):
+    """Chains, trees, joins, cycles and forward dependencies, several conversations at once (one without id)."""
+    rng, rows, want = random.Random(8), [], {}
+    for conv in (None, 1, 2, 3):
+        n = 40
+        names = [f"c{i}" for i in range(n)]
+        rng.shuffle(names)
+        after = {names[i]: sorted({names[rng.randrange(i)] for _ in range(rng.choice([0, 1, 1, 2]))}) if i else [] for i in range(n)}
+        if conv == 1:  # one long chain, told from its end
+            after = {names[i]: [names[i - 1]] if i else [] for i in range(n)}
+        if conv == 2:
+            after[names[5]] = [names[30]]
+            after[names[30]] = [names[5]]
+        places = list(range(n))
+        rng.shuffle(places)
+        rows += [(conv, places[i], 0, k, "go", "{}", after[k]) for i, k in enumerate(names)]
+        want |= {(conv, k): depths(after).get(k) for k in names}
+    calls = spark.createDataFrame(rows, "conv_id bigint, turn bigint, idx bigint, call_id string, name string, arguments string, after array<string>")
+    calls = calls.unionByName(calls.limit(20))  # repeated rows count once
+    results = spark.createDataFrame([], "conv_id bigint, turn bigint, call_id string, content string")
+    got = {(r.conv_id, r.call_id): r.level for r in toolcalls.link(calls, results, {"go": {}}).collect()}
+    assert got == want and any(v is None for v in want.values()) and max(v or 0 for v in want.values()) == 39
+
+
+def test_conversation_levels_and_errors(spark):
+    """Every answer's turn has the depth of its chain; null turns, repeated rows and extra columns change nothing."""
+    rows = [(1, 0, "system", "be brief and kind to us"), (1, 1, "user", "what is the time now?"), (1, 2, "assistant", "noon"), (1, 3, "user", "no"), (1, 4, "assistant", "yes"), (1, 5, "user", "x " * 600), (2, None, "user", "a turn without its number"), (2, 0, None, "no role"), (None, 0, "user", "a talk without its number")]
+    m = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({"level": F.lit(5), "head": F.lit(1), "dep": F.lit("x"), "after": F.lit("y")})
+    got = {(r.conv_id, r.turn): (r.level, r.status, r.errors) for r in toolcalls.conversation_links(m.unionByName(m)).collect()}
+    assert got[1, 0] == (0, "unanswered", "") and got[1, 1] == (1, "linked", "") and got[1, 3] == (2, "linked", "words: minimum") and got[1, 5] == (3, "unanswered", "prompt: maxLength")
+    assert got[None, 0][:2] == (0, "unanswered") and got[2, None][1] == "unanswered" and len(got) == 6
+
+
+def test_mix_of_hot_rows(spark):
+    """3000 repeated rows, 3000 without an id and one source with nearly all rows spread over many shards, and add up."""
+    rows = spark.range(6400).selectExpr("CASE WHEN id < 3000 THEN 7L WHEN id < 6000 THEN NULL ELSE id END AS doc_id", "CASE WHEN id < 3000 THEN 'same words here' ELSE concat('w', id % 2000, ' and more') END AS text", "CASE WHEN id < 6300 THEN 'hot' WHEN id < 6350 THEN NULL ELSE 'b' END AS source", "id AS c_size", "1 AS c_start", "2 AS c_own", "3 AS c_parts", "4 AS place")
+    placed = mixing._placed(mixing.sizes(rows), 8, 3, 64)
+    assert placed.where("doc_id = 7").select("shard").distinct().count() >= 10 and placed.where("doc_id IS NULL").select("shard").distinct().count() >= 60
+    want, taken = targets({"hot": 18900, None: 150, "b": 150}), {}
+    got = mixing.mix(rows, docs_per_shard=64).collect()
+    assert len(got) == 6400 and all(0 <= r.taken <= 3 * r["size"] for r in got)
+    for r in got:
+        taken[r.source_size, round(r.target)] = taken.get((r.source_size, round(r.target)), 0) + r.taken
+    # a shard's quota is whole blocks and at most three times its words: here shards of the small sources have three words
+    assert abs(sum(taken.values()) - sum(want.values())) < 100 and max(taken.values()) > 18_200
+    mixed = mixing.mixed(rows, docs_per_shard=64)
+    assert mixed.columns == rows.columns and mixed.agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0] == sum(taken.values())
+
+
+def test_mix_of_few_words(spark):
+    docs = spark.createDataFrame([(1, "three words here", "a"), (2, "", "b"), (3, None, None)], "doc_id bigint, text string, source string")
+    got = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    assert 0 < got[1] <= 9 and got[2] == got[3] == 0

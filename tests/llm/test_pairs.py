@@ -5,6 +5,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarnhold.llm import minhash, neardup
 from tarnhold.llm.shingles import shingle_set
@@ -58,6 +59,7 @@ def test_edges(edges, empty):
     assert len(got) == edges.count()
     part = {r.doc_id: r.component_id for r in got}
     assert part[2] == 1 and part[3] == 3 and part[4] == 4 and part[6] == 6 and part[None] is None
+    edges = edges.withColumns({k: F.lit(1) for k in ("row", "n", "component", "component_id", "least", "times", "first", "regs", "keys", "n_shingles")})
     kept = neardup.deduplicated(edges)
     assert kept.columns == edges.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 4, 5, 6, 7, 8, None]))
@@ -107,3 +109,52 @@ def test_likeness_is_jaccard():
     a, b = " ".join(words), " ".join(words[:600] + [f"z{i}" for i in range(300)])
     x, y = set(shingle_set(a, 5).tolist()), set(shingle_set(b, 5).tolist())
     assert abs(minhash.likeness(minhash.fingerprint(a), minhash.fingerprint(b)) - len(x & y) / len(x | y)) < 0.2
+
+
+def test_rows_that_share_an_id(spark):
+    """Different texts of one id are different documents: both stay, however they are dealt, and near copies of each go."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a, "x"), (5, b, "y"), (5, a, "x"), (6, a + " more", "z"), (7, b + " more", "z"), (5, b + " else", "w"), (None, a, "n"), (None, a, "n"), (8, "", "e"), (8, "", "e"), (9, None, None)]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(parts)
+        kept = sorted((str(r.doc_id), (r.text or "")[:2], r.source or "") for r in neardup.deduplicated(docs).collect())
+        near = [r for r in kept if r[:2] == ("5", "b0")]
+        assert len(near) == 1 and near[0][2] in ("y", "w")
+        assert [r for r in kept if r not in near] == sorted([("5", "a0", "x"), ("8", "", "e"), ("8", "", "e"), ("9", "", ""), ("None", "a0", "n"), ("None", "a0", "n")])
+        digest = sorted((str(r.doc_id), r.component_id, r.kept) for r in neardup.digest(docs, 5).where("doc_id IN (6, 7)").collect())
+        assert digest == [("6", 5, False), ("7", 5, False)]
+
+
+def test_common_counts():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 90)).astype(np.uint64)) for _ in range(40)]
+    got = neardup.common_counts(sets[:15], sets[15:], columns=32)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets[:15]) for j, b in enumerate(sets[15:]))
+
+
+def test_open_buckets_in_small_blocks(spark, monkeypatch):
+    """With blocks of a few nodes every pair of blocks is still compared: no link is lost."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "WEIGHT", 400)
+    monkeypatch.setattr(neardup, "SLICE", 150)
+    rng, rows = np.random.default_rng(12), []
+    for i in range(50):
+        words = [f"w{j}" for j in range(80)]
+        for j in rng.choice(80, i // 5, replace=False):
+            words[j] = f"v{i}_{j}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in neardup.digest(docs, 2).collect()}
+    assert got == classes(docs.collect(), 2)
+
+
+def test_links_of_fingerprints(spark, small, edges, empty):
+    """Bands of fingerprints joined and verified, against all pairs."""
+    rows = small.collect()
+    want = classes(rows, 5)
+    size = {}
+    for _, n, c in want:
+        size[c] = size.get(c, 0) + 1
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.linked) for r in minhash.near(small).collect()}
+    assert got == {(i, n, c, n > 0 and size[c] > 1) for i, n, c in want} and any(r[3] for r in got)
+    assert minhash.near(edges).count() == edges.count() and minhash.near(empty).count() == 0
