@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import modes, paths
 from ..functions.limits import DEFAULT_LIMITS, Limits
-from ..cuts import shared_folder
+from ..cuts import cut, shared_folder
 from ..operators import audit, budgets, dedup, extraction, links, listing, validation
 from ..sources import detect, plugins, readers, writers
 from . import derived, oracles
@@ -203,6 +203,7 @@ def audit_finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(rows: DataFrame) -> DataFrame:
+    rows = cut(rows)  # four branches read it
     archives = derived.archives(rows)
     sums = audit.totals(rows, archives)
     found = audit.entry_findings(audit.normalized(rows)).select("archive_id", "severity")
@@ -244,7 +245,7 @@ def list_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plan(spark: SparkSession, sf_dir: str, **more) -> extraction.Plan:
-    rows = _docs(spark, sf_dir)
+    rows = cut(_docs(spark, sf_dir))
     return extraction.plan(rows, derived.archives(rows), extraction.Options(duplicates="skip", limits=DEFAULT_LIMITS, **more))
 
 
