@@ -123,14 +123,14 @@ def train(labelled: DataFrame, sample: int = 3000, seed: int = 7) -> Model:
     def run(piece: pa.RecordBatch) -> dict:
         hists = [histogram(t or "") for t in piece.column(3).to_pylist()]
         bins = [np.flatnonzero(x) for x in hists]
-        return {"h": piece.column(0), "t": piece.column(1), "lang": piece.column(2), "bins": [b.astype(np.int16) for b in bins], "counts": [x[b].astype(np.float32) for x, b in zip(hists, bins)]}
+        return {"h": piece.column(0), "t": piece.column(1), "lang": piece.column(2), "bins": [b.astype("<u2").tobytes() for b in bins], "counts": [x[b].astype("<f4").tobytes() for x, b in zip(hists, bins)]}
 
     upto = F.struct(*order) <= F.struct(F.lit(last.h).alias("h"), F.lit(last.t).cast("bigint").alias("t"), F.lit(last.lang).alias("lang"))
-    made = by_chunk(labelled.where(upto).select(*order, "text"), run, "h bigint, t bigint, lang string, bins array<smallint>, counts array<float>")
+    made = by_chunk(labelled.where(upto).select(*order, "text"), run, "h bigint, t bigint, lang string, bins binary, counts binary")
     rows = made.orderBy("h", "t", "lang").limit(sample).collect()  # rows beyond the bound are copies of the last one
     hists = np.zeros((len(rows), BINS), np.float32)
     for i, r in enumerate(rows):
-        hists[i, r.bins] = r.counts
+        hists[i, np.frombuffer(r.bins, "<u2")] = np.frombuffer(r.counts, "<f4")
     return fit(hists, [r.lang for r in rows])
 
 
