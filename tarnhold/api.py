@@ -148,10 +148,11 @@ def audit_relations(files: DataFrame, parsed: DataFrame, limits: Limits, allow_s
     rows = readers.entries(parsed)
     sizes = readers.sizes(files)
     sums = audit.totals(rows, sizes.select("archive_id", "archive_size"), limits)
-    found = audit.entry_findings(audit.normalized(rows.drop("body")), limits, allow_symlinks, allow_hardlinks)
+    seen = rows.where(F.col("entry_index") < limits.max_files)  # readers stop behind them too
+    found = audit.entry_findings(audit.normalized(seen.drop("body")), limits, allow_symlinks, allow_hardlinks)
     said = readers.reader_warnings(parsed).select("archive_id", F.lit(None).cast("bigint").alias("entry_index"), F.lit(-1).alias("finding_index"), "code", F.lit("low").alias("severity"), "message", F.lit(None).cast("string").alias("path"), F.lit(None).cast("map<string,string>").alias("details"))
     found = found.unionByName(audit.archive_findings(sums, limits)).unionByName(said)
-    return AuditReport(audit.report(sums, found, sizes), found, rows.where(F.col("entry_index") < limits.max_files).select("archive_id", "entry_index", "path", "type", "size", "mode", "link_target", "source_format"))
+    return AuditReport(audit.report(sums, found, sizes), found, seen.select("archive_id", "entry_index", "path", "type", "size", "mode", "link_target", "source_format"))
 
 
 def audit_archive(spark: SparkSession, given, *, allow_symlinks: bool = False, allow_hardlinks: bool = False, plugins: list[Plugin] | None = None, legacy_plugins: bool = False, signal: threading.Event | None = None, **options) -> AuditReport:
