@@ -14,7 +14,7 @@ def large(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["audit_finding_counts", "audit_findings", "audit_report"])
+@pytest.mark.parametrize("name", ["audit_finding_counts", "audit_findings", "audit_report", "risk_by_archive"])
 def test_entries_beyond_the_limit_on_files(spark, large, name):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{large}/documents.parquet'")
