@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import modes, paths
 from ..functions.limits import DEFAULT_LIMITS, Limits
-from ..cuts import cut, shared_folder
+from ..cuts import cut, shared_folder, written
 from ..operators import audit, budgets, dedup, extraction, links, listing, validation
 from ..sources import detect, plugins, readers, writers
 from . import derived, oracles
@@ -315,12 +315,17 @@ for _fmt in writers.FORMATS:
     ORACLES[_name] = f"SELECT {_BUNDLE} AS archive_id, row_number() OVER (PARTITION BY {_BUNDLE} ORDER BY doc_id) - 1 AS entry_index, concat(lang, '/', doc_id, '.txt') AS path, 'file' AS type, octet_length(encode(text)) AS size, 420 AS mode, octet_length(encode(text)) AS actual_bytes, '{_fmt}' AS source_format, sha256(text) AS sha256 FROM documents"
 
 
-def archive_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readers, audit and report over packed archives, whole."""
+def _audited(files: DataFrame):
+    """The audit of archives, which are packed once and read once: many branches of it read their entries."""
     from .. import api
 
-    files = _packed(spark, sf_dir, "tar.gz")
-    return api.audit_relations(files, readers.parse(files), DEFAULT_LIMITS).report.select("archive_id", "risk_level", "total_size", "entry_count", "n_findings", "detected_format")
+    files = written(files)
+    return api.audit_relations(files, written(readers.parse(files).drop("body")), DEFAULT_LIMITS)
+
+
+def archive_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readers, audit and report over packed archives, whole."""
+    return _audited(_packed(spark, sf_dir, "tar.gz")).report.select("archive_id", "risk_level", "total_size", "entry_count", "n_findings", "detected_format")
 
 
 QUERIES["archive_audit"] = archive_audit
@@ -360,6 +365,7 @@ ORACLES["drop_dir_stream"] = f"SELECT {_BUNDLE} AS archive_id, 'low' AS risk_lev
 def actual_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Limits over the bytes that really came out of archives."""
     rows = readers.entries(readers.parse(_packed(spark, sf_dir, "tar.zst"), with_body=True)).select("archive_id", "entry_index", "actual_bytes")
+    rows = written(rows)  # else each branch packs again
     archives = rows.select("archive_id").distinct().withColumn("archive_size", F.lit(_CLAIMED).cast("bigint"))
     return budgets.actual_budget(rows, archives, _SMALL).select("archive_id", "entry_index", F.col("running_size").cast("bigint").alias("running_size"), "ratio", "error_code")
 
@@ -410,12 +416,9 @@ _HOSTILE = {
 
 def hostile_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings over archives of links, modes and paths that readers have to bring through."""
-    from .. import api
-
     of = lambda i: "CASE doc_id % 9 " + " ".join(f"WHEN {k} THEN {v[i]}" for k, v in _HOSTILE.items()) + " END"
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(f"{_BUNDLE} AS archive_id", "doc_id % 50 AS entry_index", f"{of(2)} AS path", "text AS body", f"{of(0)} AS type", f"CAST({of(1)} AS INT) AS mode", f"CAST({of(3)} AS STRING) AS link_target")
-    files = writers.pack_groups(rows, "tar")
-    found = api.audit_relations(files, readers.parse(files), DEFAULT_LIMITS).findings
+    found = _audited(writers.pack_groups(rows, "tar")).findings
     return found.groupBy("archive_id", "code", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 

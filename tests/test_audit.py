@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from conftest import SF
 from tarnhold.plans import registry
 
 
@@ -22,3 +23,22 @@ def test_entries_beyond_the_limit_on_files(spark, large, name):
     names = [d[0] for d in q.description]
     rows = lambda got: sorted(repr([round(x, 9) if isinstance(x, float) else x for x in r]) for r in got)
     assert rows(registry.QUERIES[name](spark, large).select(*names).collect()) == rows(q.fetchall())
+
+
+def test_archives_are_packed_once(spark, tmp_path, monkeypatch):
+    """The branches of an audit read what was packed; they do not pack it again."""
+    log, packed = str(tmp_path / "log"), registry._packed
+
+    def counted(spark, sf_dir, fmt):
+        def run(batches):
+            for b in batches:
+                with open(log, "a") as f:
+                    f.write("packed\n" * b.num_rows)
+                yield b
+
+        files = packed(spark, sf_dir, fmt)
+        return files.mapInArrow(run, files.schema)
+
+    monkeypatch.setattr(registry, "_packed", counted)
+    n = registry.archive_audit(spark, SF).count()
+    assert n == len(open(log).readlines())
