@@ -7,7 +7,7 @@ those rows alone.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +23,26 @@ DRIVE = r"\A[A-Za-z]:"
 _WIDE = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 _BLANK = r"\A[\t\n\x0B\f\r " + _WIDE + r"]*\z"
 MAX_PATH = 4096
+_DEVICES = r"(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])"
+#: The rules on single segments, over whole paths.
+DEVICE_IN = r"(?i)(?:\A|[\\/])" + _DEVICES + r"(?:[.\\/]|\z)"
+_UP = r"(?:\A|[\\/])\.\.(?:[\\/]|\z)"
+_ORDINARY, _SPECIAL = r"\A[A-Za-z0-9_-][A-Za-z0-9_./-]*\z", r"(?i)\.(?:/|\z)|/(?:[./]|\z)|(?:\A|/)" + _DEVICES + r"(?:[./]|\z)"
+
+
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a value that is worked out, and stands in the plan, once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def plain(p: Column, depth: int = DEFAULT_LIMITS.max_depth) -> Column:
+    """Whether a path is short and of ordinary letters and segments: it breaks no rule and lands where it says.
+
+    This holds for most paths and costs two matches; any other path is held against the rules.  A path of n segments, none
+    of them empty, has 2n - 1 characters at least.
+    """
+    short = F.length(p) < min(2 * depth, MAX_PATH + 1)
+    return F.coalesce(short & p.rlike(_ORDINARY) & ~p.rlike(_SPECIAL), F.lit(False))
 
 
 def segments(p: Column) -> Column:
@@ -31,13 +51,12 @@ def segments(p: Column) -> Column:
 
 def strip_dot_segments(p: Column) -> Column:
     """Without ``.`` segments, joined by ``/``; unchanged (separators too) if it has none."""
-    parts = segments(p)
-    return F.when(F.array_contains(parts, "."), F.array_join(F.filter(parts, lambda s: s != "."), "/")).otherwise(p)
+    dots = p.rlike(r"(?:\A|[\\/])\.(?:[\\/]|\z)")
+    return F.when(dots, F.array_join(F.filter(segments(p), lambda s: s != "."), "/")).otherwise(p)
 
 
 def normalize_path(p: Column) -> Column:
     """Where an NFC path lands below the output; null if it climbs out or nothing is left."""
-    parts = F.split(F.translate(p, "\\", "/"), "/", -1)
     start = F.array(F.lit("^"))  # popping it empties the stack for good
 
     def step(stack: Column, s: Column) -> Column:
@@ -48,8 +67,12 @@ def normalize_path(p: Column) -> Column:
             .otherwise(F.concat(stack, F.array(s)))
         )
 
-    stack = F.aggregate(parts, start, step)
-    return F.when(F.size(stack) > 1, F.array_join(F.slice(stack, F.lit(2), F.size(stack)), "/"))
+    def landing(parts: Column) -> Column:
+        down = F.concat(start, F.filter(parts, lambda s: (s != "") & (s != ".")))
+        return _let(F.when(F.array_contains(parts, ".."), F.aggregate(parts, start, step)).otherwise(down), joined)
+
+    joined = lambda stack: F.when(F.size(stack) > 1, F.array_join(F.slice(stack, F.lit(2), F.size(stack)), "/"))
+    return F.when(plain(p), p).otherwise(_let(F.split(F.translate(p, "\\", "/"), "/", -1), landing))
 
 
 def utf16_length(p: Column) -> Column:
@@ -58,27 +81,30 @@ def utf16_length(p: Column) -> Column:
 
 def path_error_code(path: Column, limits: Limits = DEFAULT_LIMITS, platform: str = "posix") -> Column:
     """The code of the first rule that a path breaks, else null."""
-    p = F.when(path.contains("\\"), path).otherwise(strip_dot_segments(path))
-    parts = segments(p)
-    marks = F.transform(parts, lambda s: F.when(s.rlike(r'[<>"|?*]'), "PATH_POLICY_VIOLATION").when(s.rlike(DEVICE), "PATH_WINDOWS_DEVICE"))
-    marked = F.get(F.filter(marks, lambda m: m.isNotNull()), F.lit(0))
     policy = F.lit("PATH_POLICY_VIOLATION")
-    rules = (
-        F.when(path.contains("\0"), F.lit("PATH_NUL_BYTE"))
-        .when(p.rlike(_BLANK), policy)
-        .when(p.rlike(r"[\x00-\x1F]"), policy)
-        .when(p.contains("%"), policy)
-        .when(p.startswith("/") | p.rlike(DRIVE) | p.startswith("\\\\"), F.lit("PATH_ABSOLUTE"))
-        .when(p.rlike(ADS), F.lit("PATH_WINDOWS_ADS"))
-        .when(marked.isNotNull(), marked)
-        .when(F.array_contains(parts, ".."), F.lit("PATH_TRAVERSAL"))
-        .when(F.exists(parts, lambda s: s.endswith(".") | s.endswith(" ")), F.lit("PATH_WINDOWS_TRAILING_DOTS"))
-        .when(p.contains("/") & p.contains("\\"), policy)
-    )
-    if platform == "posix":
-        rules = rules.when(p.contains("\\"), policy)
-    rules = rules.when(p.contains("//") | p.contains("\\\\"), policy).when(p.endswith("/") | p.endswith("\\"), policy)
-    return rules.when(F.size(parts) > limits.max_depth, F.lit("LIMIT_DEPTH")).when(utf16_length(p) > MAX_PATH, policy)
+
+    def rules(p: Column) -> Column:
+        parts = segments(p)
+        marks = F.transform(parts, lambda s: F.when(s.rlike(r'[<>"|?*]'), "PATH_POLICY_VIOLATION").when(s.rlike(DEVICE), "PATH_WINDOWS_DEVICE"))
+        out = (
+            F.when(p.contains("\0"), F.lit("PATH_NUL_BYTE"))
+            .when(p.rlike(_BLANK), policy)
+            .when(p.rlike(r"[\x00-\x1F]"), policy)
+            .when(p.contains("%"), policy)
+            .when(p.startswith("/") | p.rlike(DRIVE) | p.startswith("\\\\"), F.lit("PATH_ABSOLUTE"))
+            .when(p.rlike(ADS), F.lit("PATH_WINDOWS_ADS"))
+            .when(p.rlike(r'[<>"|?*]') | p.rlike(DEVICE_IN), F.get(F.filter(marks, lambda m: m.isNotNull()), F.lit(0)))
+            .when(p.rlike(_UP), F.lit("PATH_TRAVERSAL"))
+            .when(p.rlike(r"[. ](?:[\\/]|\z)"), F.lit("PATH_WINDOWS_TRAILING_DOTS"))
+            .when(p.contains("/") & p.contains("\\"), policy)
+        )
+        if platform == "posix":
+            out = out.when(p.contains("\\"), policy)
+        out = out.when(p.contains("//") | p.contains("\\\\"), policy).when(p.endswith("/") | p.endswith("\\"), policy)
+        return out.when(F.size(parts) > limits.max_depth, F.lit("LIMIT_DEPTH")).when(utf16_length(p) > MAX_PATH, policy)
+
+    given = F.when(path.contains("\\"), path).otherwise(strip_dot_segments(path))
+    return F.when(~plain(path, limits.max_depth), _let(given, rules))
 
 
 def strip_segments(p: Column, count: int) -> Column:

@@ -203,7 +203,7 @@ def audit_finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(rows: DataFrame) -> DataFrame:
-    rows = cut(rows)  # four branches read it
+    rows = written(rows.select("archive_id", "entry_index", "path", "type", "size", "mode", "link_target"))  # many branches read it
     archives = derived.archives(rows)
     sums = audit.totals(rows, archives)
     found = audit.entry_findings(audit.normalized(rows)).select("archive_id", "severity")

@@ -1,9 +1,14 @@
 """Audit queries over archives of more entries than an extraction may have."""
 
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF
+from tarnhold.functions import paths, scalar
+from tarnhold.operators import audit
 from tarnhold.plans import registry
 
 
@@ -42,3 +47,20 @@ def test_archives_are_packed_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(registry, "_packed", counted)
     n = registry.archive_audit(spark, SF).count()
     assert n == len(open(log).readlines())
+
+
+def test_findings_explode_a_column(spark):
+    """Of an expression, explode finds out the type anew for each row."""
+    rows = spark.createDataFrame([("a", 0, "x", "file", 1, 420, None)], "archive_id string, entry_index bigint, path string, type string, size bigint, mode int, link_target string")
+    plan = audit.entry_findings(audit.normalized(rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(__found#" in plan
+
+
+def test_plain_paths_break_no_rule(spark):
+    rng = random.Random(3)
+    given = ["".join(rng.choices(["a", "Con", "com1", "nul", "x.y", ".", "/", "_", "-9", " ", "\\", ":"], k=rng.randint(1, 9))) for _ in range(3000)]
+    given += ["/".join(["d"] * n) for n in (127, 128, 129)]
+    rows = spark.createDataFrame([(p,) for p in given], "path string").select("path", paths.plain(F.col("path")).alias("plain")).where("plain").collect()
+    assert len(rows) > 100
+    for r in rows:
+        assert scalar.path_error_code(r.path) is None and scalar.normalize_path(r.path) == r.path, r.path
