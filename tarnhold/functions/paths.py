@@ -144,9 +144,13 @@ def link_escapes(path: Column, target: Column, kind: Column) -> Column:
     return F.when(target.isNull(), F.lit(None).cast("boolean")).otherwise(absolute | F.coalesce(F.get(at, F.lit(0)) != "output", F.lit(True)))
 
 
-def with_nfc(df: DataFrame, column: str, out: str) -> DataFrame:
-    """``df`` with the NFC form of a text column.  ASCII rows never leave the JVM; the rest go through Arrow, without a join."""
+def with_nfc(df: DataFrame, column: str, out: str, ascii_rows: Column | None = None) -> DataFrame:
+    """``df`` with the NFC form of a text column.  ASCII rows never leave the JVM; the rest go through Arrow, without a join.
+
+    ``ascii_rows`` is true for rows that are known to be ASCII, others may be too.
+    """
     plain = F.coalesce(~F.col(column).rlike(r"[^\x00-\x7F]"), F.lit(True))
+    plain = plain if ascii_rows is None else F.coalesce(ascii_rows, F.lit(False)) | plain
     at = df.columns.index(column)
     rest = df.where(~plain)
     schema = df.withColumn(out, F.col(column)).schema

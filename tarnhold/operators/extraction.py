@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import errors as E
-from ..cuts import cut
+from ..cuts import written
 from ..functions.limits import DEFAULT_LIMITS, MAX_SAFE, Limits
 from ..functions.modes import sanitize_mode
 from ..functions.scalar import validate_mapped_entry
-from ..functions.paths import link_escapes, normalize_path, path_error_code, strip_dot_segments, strip_segments, with_nfc
+from ..functions.paths import link_escapes, normalize_path, path_error_code, plain, strip_dot_segments, strip_segments, with_nfc
 from . import budgets, dedup, links
 from .validation import mapped_error, structural_error
 
@@ -78,14 +78,12 @@ class Plan:
 
 
 def _row_checks(entries: DataFrame, archives: DataFrame, o: Options) -> DataFrame:
-    """Stages 0 to 6 as ``__stage`` and ``__code``: the first one that a raw row breaks."""
+    """Stages 0 to 6 as ``__first``: the first one that a raw row breaks; and whether its path is ``__plain``."""
     limits = o.limits
-    rows = budgets.running_total(entries)
-    sizes = archives.select(F.col("archive_id").alias("__id"), "archive_size")
-    rows = rows.join(sizes, F.col("archive_id") == F.col("__id"), "left").drop("__id")
+    rows = budgets.running_total(entries.withColumn("__plain", plain(F.col("path"), limits.max_depth)), archives=archives)
     declared, total = F.col("size").isNotNull(), F.col("running_size")
     ratio = total.cast("double") / F.col("archive_size")
-    raw = path_error_code(F.col("path"), limits, o.platform)
+    raw = F.when(~F.col("__plain"), path_error_code(F.col("path"), limits, o.platform))
     said = lambda stage, code: F.struct(F.lit(STAGES[stage]).alias("stage"), (F.lit(code) if isinstance(code, str) else code).alias("code"))
     first = (
         F.when(structural_error(entries.columns).isNotNull(), said("record", "PLUGIN_INVALID_ENTRY"))
@@ -139,12 +137,12 @@ def _called(rows: DataFrame, keep: Callable[[dict], bool] | None, change: Callab
 def plan(entries: DataFrame, archives: DataFrame, options: Options | None = None) -> Plan:
     """The relations of an extraction of ``entries`` (``schema.CORE`` and whatever else; bodies are better joined to the result)."""
     o = options or Options()
-    # both relations are read by many branches below; as written ones they are worked out, and planned, once
-    checked = cut(_row_checks(entries, archives, o))
+    # running_total has written what this reads; the checks on a row are worked out again for each of both branches
+    checked = _row_checks(entries, archives, o)
     good = checked.where("__first IS NULL").drop("__first")
     violations = checked.where("__first IS NOT NULL").select("archive_id", "entry_index", "__first.stage", F.col("__first.code").alias("error_code"))
 
-    stripped = good.withColumns({"raw_path": F.col("path"), "raw_mode": F.coalesce("mode", F.lit(0)), "__stripped": strip_segments(strip_dot_segments(F.col("path")), o.strip)})
+    stripped = good.withColumns({"raw_path": F.col("path"), "raw_mode": F.coalesce("mode", F.lit(0)), "__stripped": strip_segments(F.when(F.col("__plain"), F.col("path")).otherwise(strip_dot_segments(F.col("path"))), o.strip)})
     warnings = [stripped.where("__stripped = ''").select("archive_id", "entry_index", F.lit("path_strip_collapsed").alias("code"), F.col("raw_path").alias("entry_path"))]
     rows = stripped.where("__stripped <> ''")
     rows = rows.withColumns({"path": F.col("__stripped"), "size": F.coalesce("size", F.lit(0)).cast("bigint"), "mode": sanitize_mode(F.col("mode"), F.col("type"), o.preserve_permissions, o.umask)})
@@ -162,14 +160,18 @@ def plan(entries: DataFrame, archives: DataFrame, options: Options | None = None
         rows = rows.withColumns({k: v.cast(rows.schema[k].dataType) for k, v in o.map.items()})
         wrong = F.coalesce(wrong, mapped_error())
     rows = rows.withColumn("__wrong", wrong).drop("__mapped")
-    rows = rows.withColumn("normalized", normalize_path(F.col("path"))) if o.ascii_only else with_nfc(rows, "path", "__nfc").withColumn("normalized", normalize_path(F.col("__nfc"))).drop("__nfc")
-    code = path_error_code(F.col("path"), o.limits, o.platform)
+    # a path that is what it was broke no rule before, and a plain one lands where it says
+    same = F.coalesce(F.col("path") == F.col("raw_path"), F.lit(False))
+    simple = same & F.col("__plain")
+    rows = rows.withColumn("__nfc", F.col("path")) if o.ascii_only else with_nfc(rows, "path", "__nfc", simple)
+    rows = rows.withColumn("normalized", F.when(simple, F.col("path")).otherwise(normalize_path(F.col("__nfc")))).drop("__nfc")
+    code = F.when(~same, path_error_code(F.col("path"), o.limits, o.platform))
     said = lambda stage, c: F.struct(F.lit(STAGES[stage]).alias("stage"), (F.lit(c) if isinstance(c, str) else c).alias("code"))
     late = F.when(F.col("__user").isNotNull(), said("user", "USER_FUNCTION_ERROR")).when(F.col("__wrong").isNotNull(), said("mapped", "PLUGIN_INVALID_ENTRY")).when(code.isNotNull(), said("mapped_path", code)).when(F.col("normalized").isNull(), said("normalize", "PATH_TRAVERSAL"))
-    rows = rows.withColumn("__late", late)
-    rows = cut(rows)
+    rows = rows.withColumns({"__late": late, "disposition": F.when(F.col("path") == F.col("__stripped"), "extracted").otherwise("renamed")}).drop("__stripped", "__plain", "__wrong", "__user")
+    rows = written(rows)  # many branches below read it
     violations = violations.unionByName(rows.where("__late IS NOT NULL").select("archive_id", "entry_index", "__late.stage", F.col("__late.code").alias("error_code")))
-    rows = cut(dedup.mark(rows.where("__late IS NULL").drop("__late", "__wrong", "__user")))
+    rows = dedup.mark(rows.where("__late IS NULL").drop("__late"))
     if not o.case_insensitive:
         rows = rows.withColumn("case_collision", F.lit(False))
     clash = F.when(F.col("duplicate"), said("duplicate", "DUPLICATE_PATH")).when(F.col("case_collision"), said("case", "CASE_COLLISION"))
@@ -180,7 +182,7 @@ def plan(entries: DataFrame, archives: DataFrame, options: Options | None = None
         name = F.when(F.col("duplicate"), "duplicate_skipped").otherwise("case_collision_skipped")
         warnings.append(rows.where("duplicate OR case_collision").select("archive_id", "entry_index", name.alias("code"), F.col("raw_path").alias("entry_path")))
         rows = rows.where("NOT duplicate AND NOT case_collision")
-    rows = rows.drop("duplicate", "case_collision").withColumn("disposition", F.when(F.col("path") == F.col("__stripped"), "extracted").otherwise("renamed")).drop("__stripped")
+    rows = rows.drop("duplicate", "case_collision")
 
     refused = F.when((F.col("type") == "symlink") & F.lit(not o.allow_symlinks), said("refused", "LINK_SYMLINK_REFUSED")).when((F.col("type") == "hardlink") & F.lit(not o.allow_hardlinks), said("refused", "LINK_HARDLINK_REFUSED"))
     leaving = F.when(link_escapes(F.col("path"), F.col("link_target"), F.col("type")), said("escape", "LINK_ESCAPE"))
@@ -188,7 +190,8 @@ def plan(entries: DataFrame, archives: DataFrame, options: Options | None = None
     violations = violations.unionByName(broken.select("archive_id", "entry_index", "v.stage", F.col("v.code").alias("error_code")))
     at = lambda df, stage, c: df.select("archive_id", "entry_index", F.lit(STAGES[stage]).alias("stage"), F.lit(c).alias("error_code"))
     slim = rows.select("archive_id", "entry_index", "type", "normalized", "link_target")
-    violations = violations.unionByName(at(links.write_through_symlink(slim), "through", "LINK_THROUGH_SYMLINK")).unionByName(at(links.not_a_directory(slim), "not_directory", "NOT_A_DIRECTORY"))
+    among = links.met(slim)
+    violations = violations.unionByName(at(links.write_through_symlink(slim, among), "through", "LINK_THROUGH_SYMLINK")).unionByName(at(links.not_a_directory(slim, among), "not_directory", "NOT_A_DIRECTORY"))
     if o.allow_hardlinks:
         violations = violations.unionByName(at(links.hardlink_missing(slim), "target", "HARDLINK_TARGET_MISSING"))
     out = warnings[0]

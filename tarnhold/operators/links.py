@@ -5,10 +5,10 @@ All joins have the archive and a path as their key, so no archive is a hot key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cuts import cut
+from ..cuts import cut, written
 from ..functions.paths import link_escapes, normalize_path
 
 
@@ -57,16 +57,32 @@ def _ancestors(entries: DataFrame) -> DataFrame:
     return rows.select("archive_id", "entry_index", F.explode(above).alias("ancestor"))
 
 
-def below(entries: DataFrame, kind: str) -> DataFrame:
-    """Entries with an earlier entry of ``kind`` as an ancestor of their path: the first such ancestor in archive order."""
+def _hash() -> Column:
+    return F.xxhash64("archive_id", "ancestor")
+
+
+def met(entries: DataFrame) -> DataFrame:
+    """Hashes of the paths that are those of a file or symlink and ancestors of another entry's: few, but for a hash by chance."""
+    own = entries.where(F.col("type").isin("file", "symlink") & F.col("normalized").isNotNull()).select("archive_id", F.col("normalized").alias("ancestor"))
+    sides = own.select(_hash().alias("__met"), F.lit(1).alias("own"), F.lit(0).alias("above")).union(_ancestors(entries).select(_hash(), F.lit(0), F.lit(1)))
+    return written(sides.groupBy("__met").agg(F.max("own").alias("own"), F.max("above").alias("above")).where("own = 1 AND above = 1").select("__met"))
+
+
+def below(entries: DataFrame, kind: str, among: DataFrame | None = None) -> DataFrame:
+    """Entries with an earlier entry of ``kind`` as an ancestor of their path: the first such ancestor in archive order.
+
+    Only paths that ``met`` names (``among``, if it was worked out before) are joined.
+    """
+    among = met(entries) if among is None else among
+    those = lambda df: df.withColumn("__met", _hash()).join(among, "__met", "left_semi").drop("__met")
     of = entries.where((F.col("type") == kind) & F.col("normalized").isNotNull()).select("archive_id", F.col("normalized").alias("ancestor"), F.col("entry_index").alias("at"))
-    found = _ancestors(entries).join(of, ["archive_id", "ancestor"]).where("at < entry_index")
+    found = those(_ancestors(entries)).join(those(of), ["archive_id", "ancestor"]).where("at < entry_index")
     return found.groupBy("archive_id", "entry_index").agg(F.min(F.struct("at", "ancestor"))["ancestor"].alias("ancestor"))
 
 
-def write_through_symlink(entries: DataFrame) -> DataFrame:
-    return below(entries, "symlink")
+def write_through_symlink(entries: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    return below(entries, "symlink", among)
 
 
-def not_a_directory(entries: DataFrame) -> DataFrame:
-    return below(entries, "file")
+def not_a_directory(entries: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    return below(entries, "file", among)

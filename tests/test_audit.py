@@ -4,11 +4,12 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF
 from tarnhold.functions import paths, scalar
-from tarnhold.operators import audit
+from tarnhold.operators import audit, budgets, dedup, links
 from tarnhold.plans import registry
 
 
@@ -64,3 +65,39 @@ def test_plain_paths_break_no_rule(spark):
     assert len(rows) > 100
     for r in rows:
         assert scalar.path_error_code(r.path) is None and scalar.normalize_path(r.path) == r.path, r.path
+
+
+def test_entries_of_lines_lie_by_archive(spark):
+    """Steps on archives behind the numbering of entries need no other shuffle."""
+    rows = registry._docs(spark, SF, "line_entries").withColumn("n", F.sum("size").over(Window.partitionBy("archive_id").orderBy("entry_index")))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def _odd_entries(spark):
+    rng = random.Random(8)
+    names = ["a", "A", "a/b", "A/b", "a/b/c", "é", "É", "x/y", "x", "y"]
+    given = [(rng.choice(["p", "q", None]), i * rng.choice([1, 3000]), rng.choice([*names, *(f"one_{i}/two" for _ in range(9)), None]), rng.choice(["file", "symlink", "directory"]), rng.choice([None, 1, 2**62])) for i in range(1500)]
+    given = [r for n, r in {(r[0], r[1]): r for r in given}.items()]
+    return given, spark.createDataFrame(given, "archive_id string, entry_index bigint, normalized string, type string, size bigint")
+
+
+def test_sums_marks_and_ancestors_by_brute_force(spark):
+    """Long archives with gaps between their entries, an archive without a name, sums beyond 64 bits."""
+    given, rows = _odd_entries(spark)
+    given.sort(key=lambda r: r[1])
+    sums, firsts, spelled, marks, below = {}, {}, {}, {}, set()
+    for a, i, p, _, size in given:
+        sums[a, i] = sums.get(a, 0) + (size or 0)
+        sums[a] = sums[a, i]
+        marks[a, i] = (p is not None and (a, p) in firsts, p is not None and spelled.setdefault((a, p.lower()), p) != p)
+        firsts.setdefault((a, p), i)
+    files = {(a, p): i for a, i, p, kind, _ in reversed(given) if kind == "file"}
+    for a, i, p, _, _ in given:
+        up = ["/".join(p.split("/")[:k]) for k in range(1, p.count("/") + 1)] if p else []
+        at = [(files[a, u], u) for u in up if a is not None and (a, u) in files and files[a, u] < i]
+        if at:
+            below.add((a, i, min(at)[1]))
+    assert {(r.archive_id, r.entry_index): int(r.running_size) for r in budgets.running_total(rows).collect()} == {k: v for k, v in sums.items() if isinstance(k, tuple)}
+    assert {(r.archive_id, r.entry_index): (r.duplicate, r.case_collision) for r in dedup.mark(rows).collect()} == marks
+    assert {(r.archive_id, r.entry_index, r.ancestor) for r in links.not_a_directory(rows).collect()} == below and below
