@@ -34,7 +34,9 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     """The fingerprint as 16-bit numbers; all ones for an empty set."""
     out = np.full(PERMUTATIONS, 2**64 - 1, np.uint64)
     for i in range(0, len(shingles), 1024):
-        np.minimum(out, (_MUL * shingles[i : i + 1024] + _ADD).min(axis=1), out=out)
+        hashes = _MUL * shingles[i : i + 1024]
+        hashes += _ADD
+        np.minimum(out, hashes.min(axis=1), out=out)
     # the low bits of the minimum are as good as random; the high ones are all near 0
     return (out >> np.uint64(20) & np.uint64(0xFFFF)).astype(np.uint16)
 
@@ -54,6 +56,17 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(keys), dtype=np.uint64)
 
 
+def hopeless(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """True where the likeness lies ``neardup.SLACK`` standard errors under the threshold or the sizes alone rule a link out."""
+    limit = neardup.PERCENT / 100
+    low = limit - neardup.SLACK * np.sqrt(limit * (1 - limit) / PERMUTATIONS)
+    return ((a == b).mean(axis=-1) < low) | (100 * np.minimum(n, m) < neardup.PERCENT * np.maximum(n, m))
+
+
+#: Fingerprints link texts by bands of ``BAND`` minima; they are all that is kept of a text besides its hash and size.
+SIGNATURE = neardup.Signature(minima, PERMUTATIONS // BAND, BAND, hopeless)
+
+
 def edited(text: str, following: str) -> str:
     """The last third of ``text`` replaced by as much of the start of ``following``."""
     k = len(text) // 3
@@ -67,7 +80,7 @@ def near(docs: DataFrame) -> DataFrame:
     of their full sets of shingles is 0.8 or more.  A pair of that similarity shares one of 16 bands of 4 with a chance of
     0.9998.  Rows without words link with nothing, null ids are in no component.
     """
-    rows = neardup.link(docs, WIDTH, band_keys)
+    rows = neardup.link(docs, WIDTH, signature=SIGNATURE)
     classes = rows.where("component IS NOT NULL").groupBy(F.col("component").alias("c")).agg((F.count(F.lit(1)) > 1).alias("linked"))
     out = rows.join(classes, F.col("component") == F.col("c"), "left")
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce("linked", F.lit(False)).alias("linked"))

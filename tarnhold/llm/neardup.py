@@ -4,7 +4,7 @@
 count of its smallest hash and ten bits of mantissa, 16 bits in all.  Empty buckets take the
 register of the bucket that a fixed random order puts first among the full ones (optimal
 densification), so small sets band as large ones do.  ``BANDS`` bands of ``ROWS`` registers give a
-pair of similarity 0.8 a chance of about 3e-6 to share no band.
+pair of similarity 0.8 a chance of about 3e-6 to share no band.  A caller may bring another ``Signature``.
 
 ``link`` turns sets into classes without ever emitting the pairs of a group:
 
@@ -22,7 +22,8 @@ pair of similarity 0.8 a chance of about 3e-6 to share no band.
    matrices, and gives a link for each two components it finds linked.
 
 Nodes, candidates and links are written to the shared folder, so a lost executor costs tasks, not
-the query.
+the query.  Before texts or band keys are shuffled to the few that are asked for, most others are sorted out by
+a filter of bounded size (``_among``); the join behind it is exact.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ from .shingles import mixed, shingle_set
 
 BUCKETS, BANDS, ROWS, MANTISSA, BLOCK, WEIGHT, SLICE = 256, 42, 6, 10, 2048, 2_000_000, 250_000
 PERCENT = 80
+#: Bits of the filter of ``_among``: a table of 131,072 numbers at most, whatever the input.
+FILTER = 1 << 23
 #: Standard errors under the threshold at which an estimate is hopeless.
 SLACK = 6.0
 
@@ -69,15 +73,6 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band."""
-    rows = regs[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for j in range(ROWS):
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
-    return key.view(np.int64)
-
-
 def corrected(agree: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Jaccard estimate from the share of equal registers, less the share that collides by chance.
 
@@ -99,6 +94,19 @@ def hopeless(regs_a: np.ndarray, regs_b: np.ndarray, n: np.ndarray, m: np.ndarra
     return (estimate < limit - SLACK * np.sqrt(limit * (1 - limit) / independent)) | (100 * small < PERCENT * np.maximum(n, m))
 
 
+class Signature(NamedTuple):
+    """How sets are signed: ``make`` gives a set's 16-bit numbers, ``bands`` bands of ``rows`` of them are its keys, and
+    ``hopeless`` says of pairs of signatures, with the sets' sizes, that they are surely not linked."""
+
+    make: Callable[[np.ndarray], np.ndarray]
+    bands: int
+    rows: int
+    hopeless: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+REGISTERS = Signature(registers, BANDS, ROWS, hopeless)
+
+
 def set_hash(shingles: np.ndarray) -> str:
     return hashlib.blake2b(shingles.astype("<u8").tobytes(), digest_size=16).hexdigest()
 
@@ -106,14 +114,14 @@ def set_hash(shingles: np.ndarray) -> str:
 # --- Spark -----------------------------------------------------------------------------
 
 
-def sign(docs: DataFrame, width: int, bands: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """doc_id, row (hash of the text), n_shingles, set (hash; null if empty), regs, and keys if ``bands`` makes them from the set."""
+def sign(docs: DataFrame, width: int, bands: Callable[[np.ndarray], np.ndarray] | None = None, signature: Signature = REGISTERS) -> DataFrame:
+    """doc_id, row (hash of the text), n_shingles, set (hash; null if empty), regs (its signature), and keys if ``bands`` makes them from the set."""
 
     def run(piece: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_shingles", "set", "regs", "keys")}
         for text in piece.column(2).to_pylist():
             s = shingle_set(text, width)
-            regs = registers(s) if len(s) else None
+            regs = signature.make(s) if len(s) else None
             out["n_shingles"].append(len(s))
             out["set"].append(set_hash(s) if len(s) else None)
             out["regs"].append(regs.tobytes() if len(s) else None)
@@ -131,26 +139,37 @@ def _nodes(signed: DataFrame) -> DataFrame:
     return materialize(one.withColumn("node", F.monotonically_increasing_id()))
 
 
-def _keys_of(nodes: DataFrame) -> DataFrame:
-    """node, its set's size, band key: one row per node and band."""
+def _keys_of(nodes: DataFrame, signature: Signature, given: bool) -> DataFrame:
+    """node, its set's size, band key (as given, or a hash of the band): one row per node and band."""
+    sized = F.col("n_shingles").alias("n")
+    if given:
+        return nodes.select("node", sized, F.explode("keys").alias("key"))
+    wide = 2 * signature.rows
+    each = nodes.select("node", sized, "regs", F.explode(F.sequence(F.lit(0), F.lit(signature.bands - 1))).alias("band"))
+    return each.select("node", "n", F.expr(f"xxhash64(band, substring(regs, band * {wide} + 1, {wide}))").alias("key"))
 
-    def run(piece: pa.RecordBatch) -> dict:
-        keys = [band_keys(np.frombuffer(r, np.uint16)) if k is None else np.asarray(k, np.int64) for r, k in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist())]
-        times = [len(k) for k in keys]
-        return {"node": np.repeat(piece.column(0).to_numpy(), times), "n": np.repeat(piece.column(1).to_numpy(), times), "key": np.concatenate(keys)}
 
-    return by_chunk(nodes.select("node", "n_shingles", "regs", "keys"), run, "node bigint, n bigint, key bigint", "regs")
+def _among(rows: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """``rows`` without most of those whose number ``name`` is not in ``known``; none that is there is left out.
+
+    Bits of hashes of the known numbers are sent to all tasks, so the others need no shuffle.
+    """
+    place = f"pmod(xxhash64({name}), {FILTER}L)"
+    bits = known.selectExpr(f"{place} DIV 64 AS __word", f"shiftleft(1L, CAST({place} % 64 AS int)) AS bit").groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    here = F.expr(f"__word = {place} DIV 64 AND getbit(__bits, CAST({place} % 64 AS int)) = 1")
+    return rows.join(F.broadcast(bits), here, "left_semi")
 
 
-def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b, with their sizes n_a, n_b) whose estimate is not hopeless."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("regs").alias(f"r_{x}"))
-    both = pairs.where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % PERCENT).join(side("a"), "a").join(side("b"), "b")
+def _promising(pairs: DataFrame, nodes: DataFrame, signature: Signature) -> DataFrame:
+    """The pairs (a, b, with the size n_a) whose estimate is not hopeless."""
+    b = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("regs").alias("r_b"))
+    sized = pairs.join(b, "b").where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % PERCENT)
+    both = sized.join(nodes.select(F.col("node").alias("a"), F.col("regs").alias("r_a")), "a")
 
     def run(piece: pa.RecordBatch) -> dict:
         a, b, n, m, x, y = piece.columns
-        load = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        keep = ~hopeless(load(x), load(y), n.to_numpy(), m.to_numpy())
+        load = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(len(c), -1)
+        keep = ~signature.hopeless(load(x), load(y), n.to_numpy(), m.to_numpy())
         return {"a": a.to_numpy()[keep], "b": b.to_numpy()[keep]}
 
     return by_chunk(both.select("a", "b", "n_a", "n_b", "r_a", "r_b"), run, "a bigint, b bigint", "r_a")
@@ -158,8 +177,8 @@ def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _sets(asked: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node, shingles of the nodes in ``asked``, made again from their texts."""
-    asked = asked.select("node").distinct().join(nodes.select("node", "set", "least"), "node")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("least"), text_of().alias("text")).join(asked, "least")
+    asked = materialize(asked.select("node").distinct().join(nodes.select("node", "set", "least"), "node"))
+    texts = _among(docs.select(F.col("doc_id").cast("bigint").alias("least"), text_of().alias("text")), asked, "least").join(asked, "least")
 
     def run(piece: pa.RecordBatch) -> dict:
         out = [(i, s.astype("<u8").tobytes()) for i, t, h in zip(*[piece.column(k).to_pylist() for k in range(3)]) if set_hash(s := shingle_set(t, width)) == h]
@@ -213,16 +232,16 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def _promising_in(t: pa.Table) -> pa.Table:
+def _promising_in(t: pa.Table, signature: Signature) -> pa.Table:
     """The rows of a task with a partner across sides and components whose estimate is not hopeless."""
     side, part, n = (t.column(c).to_numpy() for c in ("side", "component", "n"))
-    regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+    regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(len(side), -1)
     right = np.flatnonzero(side == 1) if (side == 1).any() else np.arange(len(side))
     keep = np.zeros(len(side), bool)
     for i in np.flatnonzero(side == 0):
         js = right[part[right] != part[i]]
         if len(js):
-            js = js[~hopeless(regs[i], regs[js], np.full(len(js), n[i]), n[js])]
+            js = js[~signature.hopeless(regs[i], regs[js], np.full(len(js), n[i]), n[js])]
             keep[js] = True
             keep[i] |= len(js) > 0
     return t.select(["task", "side", "node", "component"]).filter(pa.array(keep))
@@ -278,7 +297,7 @@ def _linked_in(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _across(members: DataFrame, parts: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+def _across(members: DataFrame, parts: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, signature: Signature) -> DataFrame:
     """Links between different components of a bucket, blocks against blocks.
 
     ``members`` has node, n and key of buckets, without their hubs; ``parts`` node and component.
@@ -303,42 +322,42 @@ def _across(members: DataFrame, parts: DataFrame, docs: DataFrame, nodes: DataFr
     dealt = rows.join(sides, ["key", "block"]).select("task", "side", "node", "n", "component")
     dealt = dealt.join(nodes.select("node", "regs"), "node")
     schema = "task bigint, side int, node bigint, component bigint"
-    left = materialize(dealt.groupBy("task").applyInArrow(_promising_in, schema))
+    left = materialize(dealt.groupBy("task").applyInArrow(lambda t: _promising_in(t, signature), schema))
     sets = _sets(left, docs, nodes, width)
     links = materialize(left.join(sets, "node").groupBy("task").applyInArrow(_linked_in, "a bigint, b bigint").distinct())
     discard(labelled, rows, left)
     return links
 
 
-def _classes(docs: DataFrame, width: int, bands: Callable[[np.ndarray], np.ndarray] | None) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, width: int, bands: Callable[[np.ndarray], np.ndarray] | None, signature: Signature) -> tuple[DataFrame, DataFrame]:
     """Signed rows, and set and component (a number) of every set."""
-    signed = materialize(sign(docs, width, bands))
+    signed = materialize(sign(docs, width, bands, signature))
     nodes = _nodes(signed)
-    keyed = materialize(_keys_of(nodes))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("in")).where("in > 1")
-    members = materialize(keyed.join(hubs, "key").where("node <> hub.node").select("key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub"), "in"))
-    pairs = members.select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("n").alias("n_a"), F.col("n_hub").alias("n_b")).distinct()
-    links = materialize(_verified(materialize(_promising(pairs, nodes)), docs, nodes, width))
+    keyed = _keys_of(nodes, signature, bands is not None)
+    hubs = materialize(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("in")).where("in > 1"))
+    members = materialize(_among(keyed, hubs, "key").join(hubs, "key").where("node <> hub").select("key", "node", "n", "hub", "in"))
+    pairs = members.select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("n").alias("n_a")).distinct()
+    links = materialize(_verified(materialize(_promising(pairs, nodes, signature)), docs, nodes, width))
     parts = materialize(components(links))
-    rest = _across(members.where("in > 2").select("node", "n", "key"), parts, docs, nodes, width)
+    rest = _across(members.where("in > 2").select("node", "n", "key"), parts, docs, nodes, width, signature)
     if not rest.isEmpty():
         parts = components(links.union(rest))
     named = nodes.select("set", "node").join(parts, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
     named = materialize(named)
-    discard(keyed, members, links, rest)
+    discard(hubs, members, links, rest)
     return signed, named
 
 
-def link(docs: DataFrame, width: int = 5, bands: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def link(docs: DataFrame, width: int = 5, bands: Callable[[np.ndarray], np.ndarray] | None = None, signature: Signature = REGISTERS) -> DataFrame:
     """doc_id, row (hash of the text), n_shingles, set, component (a number, null without words or id) and component_id of every row.
 
     Sets of shingles of ``width`` words are linked from a Jaccard similarity of 0.8 on.  Rows
     without words (null and empty texts too) link with nothing and are their own component; so is
     a row with null id, whose component_id is null.  Equal sets are linked.  Rows that share an id are
     linked only if their sets are, so rows of one id may be in several components.  ``bands`` may give other
-    band keys than those of the registers.
+    band keys than those of the signature.
     """
-    signed, named = _classes(docs, width, bands)
+    signed, named = _classes(docs, width, bands, signature)
     known = "set IS NOT NULL AND doc_id IS NOT NULL"
     rows = signed.select("doc_id", "row", "n_shingles", "set")
     parts = rows.where(known).join(named, "set")

@@ -17,7 +17,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Distinct shingles of a text, in order."""
-    return np.unique(shingles(text, width))
+    out = np.sort(shingles(text, width))
+    new = out[1:] != out[:-1]  # np.unique takes six times as long
+    return out if new.all() else out[np.concatenate([[True], new])]
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -28,7 +30,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if n < width:
         words = [b" ".join(words)]
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
     if n < width:
         return mixed(h ^ np.uint64(n))
     out = h[: n - width + 1]

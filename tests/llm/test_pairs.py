@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnhold.llm import minhash, neardup
-from tarnhold.llm.shingles import shingle_set
+from tarnhold.llm.shingles import shingle_set, shingles
 
 
 def word_sets(rows, width):
@@ -158,3 +158,45 @@ def test_links_of_fingerprints(spark, small, edges, empty):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.linked) for r in minhash.near(small).collect()}
     assert got == {(i, n, c, n > 0 and size[c] > 1) for i, n, c in want} and any(r[3] for r in got)
     assert minhash.near(edges).count() == edges.count() and minhash.near(empty).count() == 0
+
+
+@pytest.mark.parametrize("signature", [neardup.REGISTERS, minhash.SIGNATURE])
+def test_bands_are_cut_from_signatures(spark, small, signature):
+    """Nodes share a key where they share a band, and a set leaves nothing but its signature."""
+    signed = neardup.sign(small, 5, signature=signature)
+    nodes = neardup._nodes(signed)
+    kept = {r.node: bytes(r.regs) for r in nodes.select("node", "regs").collect()}
+    assert signed.where("keys IS NOT NULL").isEmpty() and {len(x) for x in kept.values()} == {256 * 2 if signature is neardup.REGISTERS else 128}
+    bands, by_key, by_band = 2 * signature.rows, {}, {}
+    for r in neardup._keys_of(nodes, signature, False).collect():
+        by_key.setdefault(r.key, set()).add(r.node)
+    for node, x in kept.items():
+        for i in range(signature.bands):
+            by_band.setdefault((i, x[i * bands : (i + 1) * bands]), set()).add(node)
+    assert sorted(map(sorted, by_key.values())) == sorted(map(sorted, by_band.values())) and any(len(x) > 1 for x in by_key.values())
+
+
+def test_what_is_not_asked_for_is_not_shuffled(spark):
+    """The filter before a join keeps every number that is known and few others."""
+    rows = spark.range(-20_000, 20_000).toDF("key")
+    known = rows.where("key % 100 = 7 OR key IN (-20000, -1, 0, 19999)")
+    got = {r.key for r in neardup._among(rows, known, "key").collect()}
+    want = {r.key for r in known.collect()}
+    assert want <= got and len(got) < len(want) + 40
+    assert neardup._among(rows, known.limit(0), "key").isEmpty()
+
+
+def test_hopeless_fingerprints():
+    rng = np.random.default_rng(8)
+    for n in (5, 40, 900):
+        both, rest = rng.integers(0, 2**63, 4 * n, dtype=np.uint64), rng.integers(0, 2**63, n, dtype=np.uint64)
+        a, b = minhash.minima(both), minhash.minima(np.concatenate([both, rest]))  # similarity 0.8
+        assert not minhash.hopeless(a, b, np.array(4 * n), np.array(5 * n))
+        assert minhash.hopeless(a, minhash.minima(rest), np.array(4 * n), np.array(4 * n))
+        assert minhash.hopeless(a, a, np.array(4 * n), np.array(6 * n))
+
+
+def test_sets_are_sorted_and_distinct():
+    for text in (None, "", "a", "a b", "a b a b a b a b a b", "b a " * 3 + "c", " ".join(f"w{i % 50}" for i in range(400))):
+        for width in (1, 2, 5):
+            assert shingle_set(text, width).tolist() == sorted(set(shingles(text, width).tolist()))
